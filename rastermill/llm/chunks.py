@@ -34,7 +34,7 @@ class ChunkEncoder:
         self.find = None
         if pre.get("type") == "ByteLevel" and norm is None and not pre.get("add_prefix_space") and pre.get("use_regex", True):
             self.find = LEADING.findall
-        elif pre.get("type") == "Sequence" and norm and {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in norm.get("normalizers", []) and any(p.get("behavior") == "Removed" and "[^\\s" in str(p.get("pattern")) for p in pre["pretokenizers"]):
+        elif pre.get("type") == "Sequence" and norm and {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in norm.get("normalizers", []) and any(p.get("behavior") == "Removed" and "[^\\s" in (p.get("pattern") or {}).get("Regex", "") for p in pre["pretokenizers"]):
             self.find = BARE.findall
         if any(re.search(f"[{SPACE}]", t["content"]) or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
             self.find = None

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts
-from .common import documents
+from . import packing, quality, repair, token_counts, toxicity
+from .common import documents, scratch
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    repair.write_ids(documents(spark, sf_dir), path, tokenizer("word_bpe_49k.json"))
+    return repair.read_ids(spark, path, with_ids=False).drop("ids")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -27,7 +41,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fit_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op6_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair, op2_quality, op5_packing, op6_token_counts, op9_toxicity)}
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
