@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, media, mixing, packing, quality, repair, token_counts, toxicity
+from . import embeddings, jaccard, media, mixing, packing, quality, repair, token_counts, toxicity
 from .common import documents, scratch
 
 
@@ -57,7 +57,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair, op2_quality, op3_embeddings, op4_media, op5_packing, op6_token_counts, op8_mixing, op9_toxicity)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair, op2_quality, op3_embeddings, op4_media, op5_packing, op6_token_counts, op8_mixing, op9_toxicity, op10_jaccard)}
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
