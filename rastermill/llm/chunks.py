@@ -8,7 +8,9 @@ and are looked up. A file whose pre-tokeniser isn't one of the two known kinds i
 from __future__ import annotations
 
 import json
+import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,7 +18,12 @@ import numpy as np
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LEADING = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
-CACHE_CHUNKS = 400_000
+#: A word with punctuation after it; the cut between them is one of the pieces' cuts in both kinds of file.
+TAILED = re.compile("( ?[^\\W\\d_]+)([.,;:!?*$%&#|]+)")
+STEM = re.compile(" ?[^\\W\\d_]+")
+CACHE_CHUNKS = 600_000
+#: Words joined into one text for the library, whose cost by call is high.
+JOINED = 64
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -25,6 +32,7 @@ class ChunkEncoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,6 +46,7 @@ class ChunkEncoder:
             self.find = BARE.findall
         if any(re.search(f"[{SPACE}]", t["content"]) or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
             self.find = None
+        self.marks: np.ndarray | None = None
         self.clear()
 
     @classmethod
@@ -56,21 +65,70 @@ class ChunkEncoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in many(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """ids of words of letters, many to a call: each word is one piece, and its first (or last) token shows where it begins (or ends)."""
+        lead = self.find is LEADING.findall
+        if self.marks is None:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.marks = np.zeros(max(vocab.values(), default=0) + 1, bool)
+            for t, i in vocab.items():
+                self.marks[i] = t.startswith("\u0120") if lead else t.endswith("</w>")
+        out: list[list[int]] = []
+        for at in range(0, len(words), JOINED * 256):
+            groups = [words[i : i + JOINED] for i in range(at, min(len(words), at + JOINED * 256), JOINED)]
+            for group, ids in zip(groups, self._encode([("" if lead else " ").join(g) for g in groups]), strict=True):
+                where = np.flatnonzero(self.marks[ids])
+                if len(where) != len(group) or (lead and where[0] != 0) or (not lead and where[-1] != len(ids) - 1):
+                    out += self._encode(group)
+                else:
+                    cuts = [*where.tolist(), len(ids)] if lead else [0, *(where + 1).tolist()]
+                    out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _put(self, part: list[str], ids: list[list[int]]) -> None:
+        self._place(part, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32))
+
+    def _place(self, part: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        while self.n + len(part) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[self.n : self.n + len(part)] = lengths
+        self.starts[self.n : self.n + len(part)] = self.used + np.cumsum(lengths) - lengths
+        self.table.update(zip(part, range(self.n, self.n + len(part)), strict=True))
+        self.n, self.used = self.n + len(part), self.used + len(ids)
+
+    def _gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of table entries one after another, and where each ends."""
+        lengths = self.lengths[index]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def _add(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = self._encode(part)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lengths.sum())
-            while self.n + len(part) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-            self.lengths[self.n : self.n + len(part)] = lengths
-            self.starts[self.n : self.n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.table.update(zip(part, range(self.n, self.n + len(part)), strict=True))
-            self.n, self.used = self.n + len(part), self.used + total
+        """Puts new chunks into the table; a word with punctuation is put together from its word and its tail."""
+        tailed, plain = TAILED.fullmatch, STEM.fullmatch
+        lead = self.find is LEADING.findall
+        words = [c for c in chunks if plain(c)]
+        known, cut = set(words), {}
+        rest = set()
+        for c in set(chunks).difference(known):
+            if m := tailed(c):
+                cut[c] = m.groups()
+            else:
+                rest.add(c)
+        parts = set(chain.from_iterable(cut.values())).difference(self.table)
+        known.update(p for p in parts if p[-1].isalpha())
+        rest.update(p for p in parts if not p[-1].isalpha())
+        words = [c for c in known if (c[0] == " ") == lead]
+        rest.update(known.difference(words))
+        self._put(words, self._words(words))
+        rest = list(rest)
+        for at in range(0, len(rest), 20_000):
+            self._put(rest[at : at + 20_000], self._encode(rest[at : at + 20_000]))
+        if cut:
+            pairs = np.fromiter(map(self.table.__getitem__, chain.from_iterable(cut.values())), np.int64, 2 * len(cut))
+            self._place(list(cut), self.lengths[pairs].reshape(-1, 2).sum(1), self._gather(pairs)[0])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more offset than texts)."""
@@ -81,14 +139,9 @@ class ChunkEncoder:
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
-        new = {c for p in pieces for c in p if c not in self.table}
-        if new:
+        flat = list(chain.from_iterable(pieces))
+        if new := set(flat).difference(self.table):
             self._add(list(new))
-        get = self.table.__getitem__
-        index = np.fromiter((i for p in pieces for i in map(get, p)), np.int64, int(counts.sum()))
-        lengths = self.lengths[index]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.flat[at], bounds
+        index = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
+        ids, ends = self._gather(index)
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
