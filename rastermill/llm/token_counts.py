@@ -10,7 +10,9 @@ document's counts are its chunks' counts, cached, plus the count of all chunks b
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ from .common import batch, id_and_text, prepare, slices
 
 #: Fixed value: how byte-level BPE of this kind cuts a text into pieces.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A word of Latin letters, with or without a space before and punctuation after; here the pieces are the same for every version of Unicode.
+SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?*$%&#|]*)")
 LIMIT = 512
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType()), T.StructField("prefix_counts", T.BinaryType())])
 
@@ -50,9 +54,10 @@ class PrefixCounter:
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(decode(a), decode(b)): r for r, (a, b) in enumerate(merges)}
         whole = {a + b for a, b in self.rank} | {bytes([b]) for b in range(256)}
-        self.vocab = {b for t in plain if (b := decode(t)) in whole}
+        self.tokens = [b for t in plain if (b := decode(t)) in whole]
+        self.vocab = {b: i for i, b in enumerate(self.tokens)}
         self.longest = max(map(len, self.vocab))
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.encoder = ChunkEncoder(path)
         self.clear()
 
@@ -77,25 +82,37 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        ok = self.follows.get((a, b))
+    def may_follow(self, a: int, b: int) -> bool:
+        ok = self.follows.get(a << 20 | b)
         if ok is None:
-            if len(self.follows) > 500_000:
+            if len(self.follows) > 1_000_000:
                 self.follows.clear()
-            ok = self.follows[a, b] = self.merge(a + b) == [a, b]
+            x, y = self.tokens[a], self.tokens[b]
+            ok = self.follows[a << 20 | b] = self.merge(x + y) == [x, y]
         return ok
 
-    def piece(self, data: bytes) -> list[int]:
-        """counts[i]: tokens of data[:i]."""
-        counts, last, vocab = [0], [b""], self.vocab
-        for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                if (t := data[j:i]) in vocab and (not j or self.may_follow(last[j], t)):
-                    counts.append(counts[j] + 1)
-                    last.append(t)
-                    break
+    def extend(self, data: bytes, counts: list[int], last: list[int]) -> None:
+        """Fills counts and last tokens up to the end of data, from where they stop."""
+        vocab, follows = self.vocab, self.follows
+        for i in range(len(counts), len(data) + 1):
+            for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
+                t = vocab.get(data[j:i])
+                if t is None:
+                    continue
+                if j:
+                    ok = follows.get(last[j] << 20 | t)
+                    if not (self.may_follow(last[j], t) if ok is None else ok):
+                        continue
+                counts.append(counts[j] + 1)
+                last.append(t)
+                break
             else:
                 raise ValueError("no token ends here; the vocabulary lacks a byte")
+
+    def piece(self, data: bytes) -> list[int]:
+        """counts[i]: tokens of data[:i]."""
+        counts, last = [0], [0]
+        self.extend(data, counts, last)
         return counts
 
     def chars(self, piece: str) -> list[int]:
@@ -126,36 +143,73 @@ class PrefixCounter:
             out = [len(x) for x in self.encoder._encode([chunk[:k] for k in range(1, len(chunk) + 1)])]
         return out
 
+    def words(self, words: list[str]) -> dict[str, list[int]]:
+        """chars() of many pieces in order of their bytes, so that a piece goes on from what it shares with the one before."""
+        out, counts, last, before = {}, [0], [0], b""
+        for raw, word in sorted((w.encode(), w) for w in words):
+            n = min(len(raw), len(before))
+            while raw[:n] != before[:n]:
+                n -= 1
+            del counts[n + 1 :], last[n + 1 :]
+            self.extend(raw, counts, last)
+            before = raw
+            if len(raw) == len(word):
+                out[word] = counts[1:]
+            else:
+                out[word] = [counts[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        return out
+
     def _add(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            for c, ids in zip(part, self.encoder._encode(part), strict=True):
-                counts = self.chunk(c, len(ids))
-                if self.n == len(self.starts):
-                    self.starts, self.lengths = np.resize(self.starts, 2 * self.n), np.resize(self.lengths, 2 * self.n)
-                while self.used + len(counts) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.used : self.used + len(counts)] = counts
-                self.starts[self.n], self.lengths[self.n] = self.used, len(counts)
-                self.table[c] = self.n
-                self.n, self.used = self.n + 1, self.used + len(counts)
+        known: dict[str, list[int]] = {}
+        cut, rest, tails = {}, [], {}
+        for c in chunks:
+            if m := SIMPLE.fullmatch(c):
+                cut[c] = m.groups()
+            else:
+                rest.append(c)
+        whole = dict(zip(rest, map(len, self.encoder._encode(rest)), strict=True)) if rest else {}
+        stems = self.words(list({w for w, _ in cut.values()}))
+        for c, (w, t) in cut.items():
+            if not t:
+                known[c] = stems[w]
+            else:
+                if t not in tails:
+                    tails[t] = self.chars(t)
+                n = stems[w][-1]
+                known[c] = stems[w] + [n + k for k in tails[t]]
+        for c, n in whole.items():
+            known[c] = self.chunk(c, n)
+        lengths = np.fromiter(map(len, known.values()), np.int64, len(known))
+        total = int(lengths.sum())
+        while self.n + len(known) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(known.values()), np.int32, total)
+        self.lengths[self.n : self.n + len(known)] = lengths
+        self.starts[self.n : self.n + len(known)] = self.used + np.cumsum(lengths) - lengths
+        self.table.update(zip(known, range(self.n, self.n + len(known)), strict=True))
+        self.n, self.used = self.n + len(known), self.used + total
 
     def prefixes(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the token counts of its prefixes of 1, 2, ... characters."""
         found = [LEADING.findall(t) for t in texts]
+        flat = list(chain.from_iterable(found))
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
-        if new := {c for p in found for c in p if c not in self.table}:
+        if new := set(flat).difference(self.table):
             self._add(list(new))
-        get, out = self.table.__getitem__, []
-        for chunks in found:
-            index = np.fromiter(map(get, chunks), np.int64, len(chunks))
-            lengths, starts = self.lengths[index], self.starts[index]
-            ends = np.cumsum(lengths)
-            own = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            totals = self.flat[starts + lengths - 1]
-            out.append((own + np.repeat(np.cumsum(totals) - totals, lengths)).astype(np.int32))
-        return out
+        index = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
+        lengths, starts = self.lengths[index], self.starts[index]
+        ends = np.cumsum(lengths)
+        own = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        totals = self.flat[starts + lengths - 1].astype(np.int64)
+        first = np.cumsum([0, *map(len, found)])  # each text's first chunk
+        before = np.cumsum(totals) - totals
+        at_text = np.append(before, totals.sum())[first[:-1]]
+        before -= np.repeat(at_text, np.diff(first))
+        counts = (own + np.repeat(before, lengths)).astype(np.int32)
+        return np.split(counts, np.concatenate(([0], ends))[first[1:-1]]) if texts else []
 
 
 def fitting(counts: np.ndarray, budget: int) -> int:
