@@ -1,16 +1,58 @@
-"""The corpus pipeline: from documents to packed sequences, one stage after another."""
+"""The corpus pipeline: from documents to packed sequences, one stage after another.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rastermill.llm import jaccard, mixing, packing, quality, recompress
+from rastermill.llm.common import materialize
+from rastermill.llm.queries import labels, tokenizer
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold go."""
+    return quality.accept(docs, labels(spark, sf_dir)).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays: five words to a shingle, similarity 0.8 or more."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document with a smaller id has too are cut out; n_chars follows the text."""
+    cleaned = recompress.remove_repeats(docs, keep=("lang", "source"))
+    return cleaned.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them, up to three times or not at all."""
+    mixed = mixing.mix(docs, keep=("text", "lang", "source", "n_chars"))
+    return mixed.where("times > 0 and size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the tokenised documents and their places in sequences."""
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [("quality classifier", quality_classifier), ("n-gram Jaccard join", jaccard_join), ("substring dedup", substring_dedup), ("mixing sources", source_mix), ("packing", pack)]
 
+#: The classifier and the seeded mix can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs

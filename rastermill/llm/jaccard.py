@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batch, id_and_text, materialize, prepare
 from .components import components
 from .words import mixed, runs, words
 
-WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
+WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUPS = 32
 LEAF = 32
 TAKE = 4
@@ -277,6 +278,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, all columns kept, that stand for their components: those with the least id, one row for each id. Rows without an id stay."""
+    kept = similar_documents(df, id_col, text_col, **options).where("doc_id = component_id").select("doc_id").distinct()
+    stay = df.join(kept, df[id_col].cast("long") == kept["doc_id"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(stay[id_col]).orderBy(F.xxhash64(stay[text_col])))
+    return stay.withColumn("_place", place).where("_place = 1").drop("_place").unionByName(df.where(df[id_col].isNull()))
+
+
 def to_ids(links: DataFrame, alone: DataFrame) -> DataFrame:
     a = alone.select(F.col("node").alias("a"), F.col("doc_id").alias("id_a"))
     b = alone.select(F.col("node").alias("b"), F.col("doc_id").alias("id_b"))

@@ -141,7 +141,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, id_col: s
         df[id_col].cast("long").alias("doc_id"), pattern.alias("pattern"), F.regexp_count(F.coalesce(df[text_col], F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), df[id_col].cast("long")), 1).alias("key"), *(df[c].alias(f"_keep_{i}") for i, c in enumerate(keep)),
     )
-    light = materialize(sized.select("doc_id", "pattern", "size", "key"), "mix") if not keep else sized
+    light = materialize(sized.select("doc_id", "pattern", "size", "key"), "mix")
     totals = light.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -153,7 +153,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, id_col: s
     fields = "pattern array<string>, whole long, rest long, source_size long, target double"
     chosen = F.broadcast(spark.createDataFrame([(list(p), plan.words[p] // n if n else 0, rest[p], sum(plan.sources[s][0] for s in p), float(sum(plan.sources[s][1] for s in p))) for p, n in patterns.items()] or [], fields))
     cut = F.broadcast(cutting_keys(light, chosen))
-    out = sized.join(chosen, "pattern").join(cut, "pattern", "left")
+    out = (sized if keep else light).join(chosen, "pattern").join(cut, "pattern", "left")
     times = F.col("whole") + (F.col("key") <= F.coalesce("cut", F.lit(-1))).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most))).alias("taken"), *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)), *([F.least(times, F.lit(most)).alias("times")] if keep else []))
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,6 +167,17 @@ def score(measured: DataFrame, model: Discriminant) -> DataFrame:
     return measured.mapInArrow(apply, "doc_id long, score double")
 
 
+def accept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, all columns kept, whose texts score the threshold or more."""
+    model = fit(materialize(features(df, id_col, text_col), "quality"), labels)
+
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, DIMS)))
+
+    return df.where(rate(F.coalesce(df[text_col], F.lit(""))) >= threshold)
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row; null texts count as empty, a null id is held out of nothing (false)."""
     measured = materialize(features(df, id_col, text_col), "quality")

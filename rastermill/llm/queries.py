@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, media, mixing, packing, quality, repair, token_counts, toxicity
+from . import embeddings, jaccard, media, mixing, packing, quality, recompress, repair, token_counts, toxicity
 from .common import documents, scratch
 
 
@@ -49,6 +49,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fit_chars")
 
 
+def op7_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -58,10 +62,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(documents(spark, sf_dir))
+    return jaccard.similar_documents(documents(spark, sf_dir), width=4, numerator=85, denominator=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair, op2_quality, op3_embeddings, op4_media, op5_packing, op6_token_counts, op8_mixing, op9_toxicity, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repair, op2_quality, op3_embeddings, op4_media, op5_packing, op6_token_counts, op7_recompress, op8_mixing, op9_toxicity, op10_jaccard)}
 
 #: DuckDB SQL for the rows of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
