@@ -21,18 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, id_and_text, materialize, prepare
+from .common import batch, id_and_text, materialize, prepare, slices
 from .components import components
 from .words import mixed, runs, words
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUPS = 32
 LEAF = 32
-TAKE = 4
+#: Characters hashed at once; the arrays for it take some fifty bytes each.
+SLICE = 1 << 19
+#: Pairs whose texts are unpacked at once.
+VERIFIED = 100
+TAKE = 1
+#: Bytes of a root coordinate's name for so many coordinates; two that share a name cost a needless comparison at worst.
+SPARE_BITS = 16
 #: A coordinate that a batch's documents hold so often is reported as common; the COMMON most frequent are ordered last. Any order gives the same links.
 OFTEN, COMMON = 4, 50_000
 ONE = np.uint64(0x243F6A8885A308D3)
@@ -42,20 +49,20 @@ POINTS = "doc_id long, n long, set_a long, set_b long, keys binary, counts binar
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z folded; fewer words than `width` are one shingle, none give none."""
-    hashes, bounds, _, _ = words([t.encode("utf-8", "replace") for t in texts], fold_case=True)
-    if not len(hashes):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    every, out = runs(hashes, width), []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= width:
-            out.append(np.unique(every[a : b - width + 1]))
-        elif b > a:
-            short = np.full(1, b - a, np.uint64) * ONE
-            for k in range(a, b):
-                short = mixed(short * np.uint64(3) + hashes[k : k + 1])
-            out.append(short)
-        else:
-            out.append(np.zeros(0, np.uint64))
+    out: list[np.ndarray] = []
+    for lo, hi in slices(texts, SLICE):
+        hashes, bounds, _, _ = words([t.encode("utf-8", "replace") for t in texts[lo:hi]], fold_case=True)
+        every = runs(hashes, width)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= width:
+                out.append(np.unique(every[a : b - width + 1]))
+            elif b > a:
+                short = np.full(1, b - a, np.uint64) * ONE
+                for k in range(a, b):
+                    short = mixed(short * np.uint64(3) + hashes[k : k + 1])
+                out.append(short)
+            else:
+                out.append(np.zeros(0, np.uint64))
     return out
 
 
@@ -64,23 +71,28 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.n
     return -(-num * (a + b) // (num + den))
 
 
-def common_coordinates(texts: DataFrame, width: int) -> list[tuple[int, int]]:
-    """(coordinate, documents) of frequent coordinates, at most COMMON."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def common_coordinates(texts: DataFrame, width: int) -> tuple[list[tuple[int, int]], int]:
+    """(coordinate, documents) of frequent coordinates, at most COMMON, and how many coordinates all documents occupy together."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("every", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 key, n = np.unique(np.concatenate(shingle_sets(b.column(0).to_pylist(), width)), return_counts=True)
+                every = int(n.sum())
                 key, n = key[n >= OFTEN], n[n >= OFTEN]
-                if len(key):
-                    yield batch(schema, [key.view(np.int64), n])
+                yield batch(schema, [[None, *key.view(np.int64).tolist()], [0, *n.tolist()], [every] + [0] * len(key)])
+
+    found = materialize(texts.mapInArrow(count, "key long, n long, every long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "common")
+    total = found.where("key is null").select("every").collect()
+    return [tuple(r) for r in found.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key").limit(COMMON).collect()], total[0][0] if total else 0
 
-    found = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return [tuple(r) for r in found.orderBy(F.desc("n"), "key").limit(COMMON).collect()]
 
+def key_bytes(coordinates: int) -> int:
+    return min(8, -(-(max(1, coordinates).bit_length() + SPARE_BITS) // 8))
 
-def points(df: DataFrame, width: int, num: int, den: int, common: list[tuple[int, int]]) -> DataFrame:
+
+def points(df: DataFrame, width: int, num: int, den: int, common: list[tuple[int, int]], size: int) -> DataFrame:
     """POINTS of every document: set size, the set's 128-bit name, root coordinates and coarse counts."""
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n", "set_a", "set_b")), ("keys", pa.binary()), ("counts", pa.binary())])
     spark = df.sparkSession
@@ -102,8 +114,7 @@ def points(df: DataFrame, width: int, num: int, den: int, common: list[tuple[int
                 else:
                     roots = s[:first]
                 coarse = np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 65535).astype("<u2")
-                name = (int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ ONE).sum(dtype=np.uint64)))
-                rows.append((doc, n, *(x - (1 << 64) if x >> 63 else x for x in name), roots.astype("<u8").tobytes(), coarse.tobytes()))
+                rows.append((doc, n, *set_name(s), roots.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes(), coarse.tobytes()))
             if rows:
                 yield batch(schema, list(zip(*rows, strict=True)))
 
@@ -191,26 +202,23 @@ def ask(members: DataFrame, skip: int, take: int, num: int, den: int) -> DataFra
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets reach the threshold. texts: (node, text) of all nodes in pairs."""
+    """The pairs (a, b) whose texts' shingle sets reach the threshold. texts: (node, packed) of all nodes in pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names, seen, rows = b.column(0).to_pylist(), {}, []
-            lefts, rights = b.column(2).to_pylist(), b.column(3).to_pylist()
-            for i, t in zip(names, lefts, strict=True):
-                seen.setdefault(i, t)
-            sets = dict(zip(seen, shingle_sets(list(seen.values()), width), strict=True))
-            for i, j, y in zip(names, b.column(1).to_pylist(), shingle_sets(rights, width), strict=True):
-                x = sets[i]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    rows.append((i, j))
-            yield batch(schema, list(zip(*rows, strict=True)) if rows else [[], []])
-
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED):
+                b = whole.slice(at, VERIFIED)
+                names, packed = b.column(0).to_pylist(), dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+                sets, rows = dict(zip(packed, shingle_sets(unpacked(list(packed.values())), width), strict=True)), []
+                for i, j, y in zip(names, b.column(1).to_pylist(), shingle_sets(unpacked(b.column(3).to_pylist()), width), strict=True):
+                    x = sets[i]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        rows.append((i, j))
+                yield batch(schema, list(zip(*rows, strict=True)) if rows else [[], []])
+
+    left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     wide = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return wide.mapInArrow(check, "a long, b long")
 
@@ -225,54 +233,47 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = prepare(df.sparkSession)
     texts = id_and_text(df, id_col, text_col)
     num, den = numerator, denominator
-    every = materialize(points(texts, width, num, den, common_coordinates(texts.select("text"), width)), "points")
+    common, total = common_coordinates(texts.select("text"), width)
+    size = key_bytes(total)
+    every = materialize(points(texts, width, num, den, common, size), "points")
     named = every.where("n > 0 and doc_id is not null")
-    sets = named.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("node"))
-    same = named.select("doc_id", "set_a", "set_b", "n").join(sets, ["set_a", "set_b", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    # One row stands for each set; its id may stand for several sets if rows repeat it with other texts.
-    alone = named.join(sets.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b", "doc_id"])
-    node = F.xxhash64("set_a", "set_b").alias("node")
-    alone = materialize(alone.select(node, "doc_id", "n", "keys", "counts"), "nodes")
-    roots = alone.select("node", F.posexplode(F.sequence(F.lit(0), (F.length("keys") / 8).cast("int") - 1)).alias("pos", "i"), "keys").select("node", F.expr("substring(keys, 8 * i + 1, 8)").alias("raw"))
-    roots = roots.select("node", F.conv(F.hex("raw"), 16, -10).cast("long").alias("key"))
-    crowds = roots.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).where("size > 1")
-    crowds = materialize(crowds, "crowds")
-    shape = alone.select("node", "n", "counts")
-    pairs_of_two = crowds.where("size = 2 and a != b").select("a", "b").distinct()
-    two = pairs_of_two.withColumn("key", F.xxhash64("a", "b")).select("key", F.explode(F.array("a", "b")).alias("node"))
-    more = roots.join(crowds.where("size > 2").select("key", "size"), "key")
-    members = materialize(two.withColumn("size", F.lit(2).cast("long")).unionByName(more).join(shape, "node"), "members")
-
-    links, skip, take = None, 0, TAKE
-    text_of = None
+    sets = named.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("owner"))
+    same = named.select("doc_id", "set_a", "set_b", "n").join(sets, ["set_a", "set_b", "n"]).select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
+
+    # One row stands for each set. Its id names the node, but where rows repeat the id with other texts.
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("set_a", "set_b"))
+    nodes = sets.withColumn("node", F.when(place == 1, F.col("owner")).otherwise(F.xxhash64("set_a", "set_b"))).select("set_a", "set_b", F.col("owner").alias("doc_id"), "node")
+    alone = named.join(nodes, ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b", "doc_id"])
+    alone = materialize(alone.select("node", "doc_id", "set_a", "set_b", "n", "keys", "counts"), "nodes")
+    at = F.explode(F.sequence(F.lit(0), (F.length("keys") / size).cast("int") - 1)).alias("i")
+    roots = alone.select("node", at, "keys").select("node", F.conv(F.hex(F.expr(f"substring(keys, {size} * i + 1, {size})")), 16, -10).cast("long").alias("key"))
+    crowds = materialize(roots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "crowds")
+    members = materialize(roots.join(crowds, "key").join(alone.select("node", "n", "counts"), "node"), "members")
+
+    links, text_of, skip, take = None, None, 0, TAKE
     while True:
-        open_ = members.where(F.col("size") > skip + 1) if skip else members
         if links is None:
-            labelled = open_.withColumn("label", F.col("node"))
+            labelled = members.withColumn("label", F.col("node"))
         else:
-            labelled = open_.join(components(links), "node", "left").withColumn("label", F.coalesce("component_id", "node"))
-        pairs = materialize(ask(labelled.select("key", "node", "n", "counts", "label"), skip, take, num, den), "pairs")
-        if pairs.isEmpty():
-            if skip and open_.isEmpty():
-                break
-            if skip and labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("split"), F.max("size").alias("size")).where(F.col("split") & (F.col("size") > skip + take + 1)).isEmpty():
-                break
-            if not skip and open_.where(F.col("size") > take + 1).isEmpty():
+            labelled = members.join(components(links), "node", "left").withColumn("label", F.coalesce("component_id", "node"))
+            open_ = labelled.where(F.col("size") > skip + 1).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+            labelled = materialize(labelled.join(open_.select("key"), "key", "left_semi"), "open")
+            if labelled.isEmpty():
                 break
-        else:
+        pairs = materialize(ask(labelled.select("key", "node", "n", "counts", "label"), skip, take, num, den), "pairs")
+        if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            ids = wanted.join(alone.select("node", "doc_id"), "node")
-            got = texts.join(ids, "doc_id")
-            if text_of is None:
-                text_of = materialize(exact_text(got, alone, width), "texts")
-            else:
-                text_of = materialize(text_of.unionByName(exact_text(got.join(text_of.select("node"), "node", "left_anti"), alone, width)), "texts")
-            new = verify(pairs, text_of, width, num, den)
-            links = materialize(new if links is None else links.unionByName(new), "links")
+            if text_of is not None:
+                wanted = wanted.join(text_of.select("node"), "node", "left_anti")
+            got = wanted_texts(texts, wanted.join(alone.select("node", "doc_id", "set_a", "set_b"), "node"), width)
+            text_of = materialize(got, "texts") if text_of is None else text_of.unionByName(materialize(got, "texts"))
+            new = materialize(verify(pairs, text_of, width, num, den), "links")
+            links = new if links is None else links.unionByName(new)
+        elif links is None:
+            links = pairs
         skip, take = skip + take, 2 * take
 
-    edges = same if links is None else same.unionByName(to_ids(links, alone))
+    edges = same.unionByName(to_ids(links, alone))
     comp = components(edges)
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -292,16 +293,35 @@ def to_ids(links: DataFrame, alone: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def exact_text(candidates: DataFrame, alone: DataFrame, width: int) -> DataFrame:
-    """(node, text), one a node, of rows (doc_id, text, node); a row whose id has another text too is told apart by its set's name."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64())])
+def wanted_texts(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, packed) of rows (node, doc_id, set_a, set_b): the compressed text whose id and set these are. Texts are moved compressed."""
+    sent = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            texts = b.column(1).to_pylist()
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
-            sets = shingle_sets(texts, width)
-            yield batch(schema, [b.column(0), texts, [signed(int(mixed(s).sum(dtype=np.uint64))) for s in sets], [signed(int(mixed(s ^ ONE).sum(dtype=np.uint64))) for s in sets]])
+            yield batch(sent, [b.column(0), [squeeze(t.encode("utf-8", "replace")) for t in b.column(1).to_pylist()]])
+
+    own = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED):
+                node, packed, set_a, set_b = (c.to_pylist() for c in whole.slice(at, VERIFIED).columns)
+                found = [set_name(s) for s in shingle_sets(unpacked(packed), width)]
+                keep = [i for i, name in enumerate(found) if name == (set_a[i], set_b[i])]
+                yield batch(own, [[node[i] for i in keep], [packed[i] for i in keep]])
+
+    joined = texts.mapInArrow(send, "doc_id long, packed binary").join(wanted, "doc_id")
+    return joined.select("node", "packed", "set_a", "set_b").mapInArrow(pick, "node long, packed binary").dropDuplicates(["node"])
+
+
+def unpacked(packed: list[bytes]) -> list[str]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(p).decode() for p in packed]
+
 
-    named = candidates.select("node", "text").mapInArrow(name, "node long, text string, set_a long, set_b long")
-    return named.where(F.xxhash64("set_a", "set_b") == F.col("node")).select("node", "text").dropDuplicates(["node"])
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name as two signed numbers."""
+    name = (int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ ONE).sum(dtype=np.uint64)))
+    return tuple(x - (1 << 64) if x >> 63 else x for x in name)
