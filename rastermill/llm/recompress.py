@@ -33,6 +33,8 @@ WIDTH = 50
 ROUNDS = 12
 OTHER_BASE = 0xC2B2AE3D27D4EB4F | 1
 FAR = 1 << 40
+#: Characters hashed at once.
+SLICE = 1 << 20
 
 SEGMENTS = "row long, doc_id long, key long, content long, start int, count int"
 CLEANED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -128,7 +130,7 @@ def find_segments(texts: DataFrame, width: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts_, rows = (b.column(i).to_pylist() for i in range(3))
-            for lo, hi in slices(texts_):
+            for lo, hi in slices(texts_, SLICE):
                 names, bounds, _, _ = words([t.encode("utf-8", "replace") for t in texts_[lo:hi]])
                 doc, start, count, key, content = segments(names, bounds, width)
                 if len(doc):
