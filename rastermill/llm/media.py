@@ -145,10 +145,13 @@ def write_media(df: DataFrame, payload_col: str | Column, path: str, id_col: str
             yield batch(sent, [b.column(0), [hashlib.sha256(x).digest() for x in data], [squeeze(x) for x in data]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand, done = zstandard.ZstdDecompressor().decompress, set()
         for b in batches:
             rows = []
             for sha, packed, seqs, mine in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if sha in done:  # a repeated row
+                    continue
+                done.add(sha)
                 parts = chunks(expand(packed))
                 owned, shared = np.ones(len(parts), np.uint8), np.zeros(len(parts), np.uint8)
                 if seqs:
@@ -233,5 +236,5 @@ def store_and_describe(df: DataFrame, payload_col: str | Column, id_col: str = "
     """For each row what read_media() says of its payload: (doc_id, n_bytes, payload_bytes, payload_sha256, ...)."""
     path = scratch(df.sparkSession, "media")
     listed = write_media(df, payload_col, path, id_col)
-    read = materialize(read_media(df.sparkSession, path), "media-read")
+    read = materialize(read_media(df.sparkSession, path), "media-read").dropDuplicates(["payload_sha"])
     return listed.select("doc_id", "n_bytes", "payload_sha").join(read, "payload_sha").drop("payload_sha")
