@@ -13,21 +13,57 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: The code points that Unicode calls white space, as the tokenisers' \s has them.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LEADING = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-BARE = re.compile(f"[^{SPACE}]+")
 #: A word with punctuation after it; the cut between them is one of the pieces' cuts in both kinds of file.
 TAILED = re.compile("( ?[^\\W\\d_]+)([.,;:!?*$%&#|]+)")
 STEM = re.compile(" ?[^\\W\\d_]+")
 CACHE_CHUNKS = 600_000
+#: ASCII white space, and the beginnings of what else is white space, in UTF-8.
+GAP = np.zeros(256, bool)
+GAP[[9, 10, 11, 12, 13, 32]] = True
+RARE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+RARE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Words joined into one text for the library, whose cost by call is high.
 JOINED = 64
 
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+def distinct_chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(chunks, index, counts): the distinct chunks of texts, which of them come one after another, and how many in each text.
+
+    Where white space is ASCII, chunks are cut and told apart in arrays; texts with other white space go by LEADING.
+    """
+    raw = [t.encode() for t in texts]
+    slow = [i for i, (t, r) in enumerate(zip(texts, raw, strict=True)) if not t.isascii() and any(x in r for x in RARE) and RARE_SPACE.search(t)]
+    odd = dict.fromkeys(slow)
+    data = b"".join(b"" if i in odd else r for i, r in enumerate(raw))
+    sizes = np.fromiter((0 if i in odd else len(r) for i, r in enumerate(raw)), np.int64, len(raw))
+    gap = GAP[np.frombuffer(data, np.uint8)]
+    ends = np.cumsum(sizes)
+    first = np.zeros(len(gap), bool)
+    first[1:] = gap[1:] & ~gap[:-1]
+    first[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(first)
+    places = np.append(starts, len(data)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+    chunks, index = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - sizes)
+    if slow:
+        parts = np.split(index, np.cumsum(counts)[:-1])
+        known = dict(zip(chunks, range(len(chunks)), strict=True))
+        for i in slow:
+            own = LEADING.findall(texts[i])
+            parts[i] = np.array([known.setdefault(c, len(known)) for c in own], np.int64)
+            counts[i] = len(own)
+        chunks, index = list(known), np.concatenate(parts)
+    return chunks, index, counts
+
+
 class ChunkEncoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
@@ -39,13 +75,13 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.find = None
+        self.lead: bool | None = None  # pieces hold the space before them; None: a kind that isn't known
         if pre.get("type") == "ByteLevel" and norm is None and not pre.get("add_prefix_space") and pre.get("use_regex", True):
-            self.find = LEADING.findall
+            self.lead = True
         elif pre.get("type") == "Sequence" and norm and {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in norm.get("normalizers", []) and any(p.get("behavior") == "Removed" and "[^\\s" in (p.get("pattern") or {}).get("Regex", "") for p in pre["pretokenizers"]):
-            self.find = BARE.findall
+            self.lead = False
         if any(re.search(f"[{SPACE}]", t["content"]) or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
-            self.find = None
+            self.lead = None
         self.marks: np.ndarray | None = None
         self.clear()
 
@@ -67,7 +103,7 @@ class ChunkEncoder:
 
     def _words(self, words: list[str]) -> list[list[int]]:
         """ids of words of letters, many to a call: each word is one piece, and its first (or last) token shows where it begins (or ends)."""
-        lead = self.find is LEADING.findall
+        lead = self.lead
         if self.marks is None:
             vocab = self.tokenizer.get_vocab(with_added_tokens=False)
             self.marks = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -76,7 +112,7 @@ class ChunkEncoder:
         out: list[list[int]] = []
         for at in range(0, len(words), JOINED * 256):
             groups = [words[i : i + JOINED] for i in range(at, min(len(words), at + JOINED * 256), JOINED)]
-            for group, ids in zip(groups, self._encode([("" if lead else " ").join(g) for g in groups]), strict=True):
+            for group, ids in zip(groups, self._encode(["".join(g) if lead else " ".join(w.strip() for w in g) for g in groups]), strict=True):
                 where = np.flatnonzero(self.marks[ids])
                 if len(where) != len(group) or (lead and where[0] != 0) or (not lead and where[-1] != len(ids) - 1):
                     out += self._encode(group)
@@ -108,7 +144,6 @@ class ChunkEncoder:
     def _add(self, chunks: list[str]) -> None:
         """Puts new chunks into the table; a word with punctuation is put together from its word and its tail."""
         tailed, plain = TAILED.fullmatch, STEM.fullmatch
-        lead = self.find is LEADING.findall
         words = [c for c in chunks if plain(c)]
         known, cut = set(words), {}
         rest = set()
@@ -120,7 +155,7 @@ class ChunkEncoder:
         parts = set(chain.from_iterable(cut.values())).difference(self.table)
         known.update(p for p in parts if p[-1].isalpha())
         rest.update(p for p in parts if not p[-1].isalpha())
-        words = [c for c in known if (c[0] == " ") == lead]
+        words = [c for c in known if not self.lead or c[0] == " "]
         rest.update(known.difference(words))
         self._put(words, self._words(words))
         rest = list(rest)
@@ -132,16 +167,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more offset than texts)."""
-        if self.find is None:
+        if self.lead is None:
             ids = self._encode(texts)
             return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([0, *map(len, ids)])
-        pieces = [self.find(t) for t in texts]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        chunks, where, counts = distinct_chunks(texts)
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
-        flat = list(chain.from_iterable(pieces))
-        if new := set(flat).difference(self.table):
-            self._add(list(new))
-        index = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
+        if new := [c for c in chunks if c not in self.table]:
+            self._add(new)
+        index = np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))[where]
         ids, ends = self._gather(index)
         return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]

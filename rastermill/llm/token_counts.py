@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import LEADING, ChunkEncoder
+from .chunks import ChunkEncoder, distinct_chunks
 from .common import batch, id_and_text, prepare, slices
 
 #: Fixed value: how byte-level BPE of this kind cuts a text into pieces.
@@ -193,23 +193,24 @@ class PrefixCounter:
 
     def prefixes(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the token counts of its prefixes of 1, 2, ... characters."""
-        found = [LEADING.findall(t) for t in texts]
-        flat = list(chain.from_iterable(found))
+        if not texts:
+            return []
+        chunks, where, per = distinct_chunks(texts)
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
-        if new := set(flat).difference(self.table):
-            self._add(list(new))
-        index = np.fromiter(map(self.table.__getitem__, flat), np.int64, len(flat))
+        if new := [c for c in chunks if c not in self.table]:
+            self._add(new)
+        index = np.fromiter(map(self.table.__getitem__, chunks), np.int64, len(chunks))[where]
         lengths, starts = self.lengths[index], self.starts[index]
         ends = np.cumsum(lengths)
         own = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         totals = self.flat[starts + lengths - 1].astype(np.int64)
-        first = np.cumsum([0, *map(len, found)])  # each text's first chunk
+        first = np.concatenate(([0], np.cumsum(per)))  # each text's first chunk
         before = np.cumsum(totals) - totals
         at_text = np.append(before, totals.sum())[first[:-1]]
         before -= np.repeat(at_text, np.diff(first))
         counts = (own + np.repeat(before, lengths)).astype(np.int32)
-        return np.split(counts, np.concatenate(([0], ends))[first[1:-1]]) if texts else []
+        return np.split(counts, np.concatenate(([0], ends))[first[1:-1]])
 
 
 def fitting(counts: np.ndarray, budget: int) -> int:
