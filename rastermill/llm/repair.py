@@ -64,8 +64,9 @@ def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarra
     for mixer in MIXERS:
         if len(seq) < 2:
             break
-        inner = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
-        key = (seq[inner].astype(np.int64) << 32) | seq[inner + 1]
+        mark = seq != end_id
+        inner = np.flatnonzero(mark[:-1] & mark[1:])
+        key = ((seq[:-1].astype(np.int64) << 32) | seq[1:])[inner]
         slot = ((key.view(np.uint64) * np.uint64(mixer)) >> np.uint64(64 - BITS)).view(np.int64)
         pairs, slots = frequent_pairs(key, slot)
         left, right, taken, rule_of = set(), set(), [], np.full(1 << BITS, -1, np.int32)
@@ -147,8 +148,17 @@ class Shard:
 
     def documents(self) -> list[np.ndarray]:
         """All documents' ids."""
-        ends = np.concatenate(([0], np.cumsum(self.lengths(self.symbols))))[self.doc_at]
-        ids = expand(self.symbols, self.rules, self.first)
+        lengths = self.lengths(self.symbols)
+        reached = np.cumsum(lengths)
+        ends = np.concatenate(([0], reached))[self.doc_at]
+        # Every rule is expanded once; symbols are then looked up: first the terminals as they are, then what rules stand for.
+        big = self.symbols >= self.first
+        rule_ids = expand(np.arange(self.first, self.first + len(self.rules)), self.rules, self.first)
+        rule_at = np.cumsum(self.expansions) - self.expansions
+        ids = np.repeat(self.symbols, lengths)
+        own = lengths[big]
+        inside = np.repeat(reached[big] - own - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        ids[inside] = rule_ids[np.repeat(rule_at[self.symbols[big] - self.first] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
