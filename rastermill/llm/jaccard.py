@@ -4,14 +4,15 @@ Shingles are hashed into groups twice. In the fine grouping (64 bits) a document
 two points whose summed coordinate minima reach the needed overlap share one of the first
 n - ceil(threshold * n) + 1 occupied coordinates of either, in any common order. So these
 coordinates are the roots of the forest, each a tree over the documents that occupy it, and common
-coordinates are ordered last. In the coarse grouping (GROUPS counts) each tree packs its points into
+coordinates are ordered last. In the coarse grouping (a group for every
+few shingles, so that unrelated documents differ clearly at any size) each tree packs its points into
 leaves and nodes with their coordinate maxima. The overlap of a document with a point, leaf or node
 is at most the sum of the coordinate minima; what can't reach the threshold is pruned, and what
 survives is verified on the whole texts.
 
 Documents with equal shingle sets are one point. A document asks for its first TAKE surviving
 partners; when those are verified, documents already in one component need no more, and the others
-ask for the next ones, twice as many each round, until no partner is left: hot groups of copies cost
+ask for the next ones, more each round, until no partner is left: hot groups of copies cost
 a few pairs each, and no pair of different components goes unverified.
 """
 
@@ -31,13 +32,16 @@ from .components import components
 from .words import mixed, runs, words
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUPS = 32
+#: A document of n shingles has the least power of two of n / SPREAD groups or more, LEAST_GROUPS at least.
+SPREAD, LEAST_GROUPS = 8, 8
 LEAF = 32
 #: Characters hashed at once; the arrays for it take some fifty bytes each.
 SLICE = 1 << 19
 #: Pairs whose texts are unpacked at once.
 VERIFIED = 100
 TAKE = 1
+#: A round asks for so many times the partners of the one before.
+GROWTH = 8
 #: Bytes of a root coordinate's name for so many coordinates; two that share a name cost a needless comparison at worst.
 SPARE_BITS = 16
 #: A coordinate that a batch's documents hold so often is reported as common; the COMMON most frequent are ordered last. Any order gives the same links.
@@ -113,19 +117,40 @@ def points(df: DataFrame, width: int, num: int, den: int, common: list[tuple[int
                     roots = s[np.lexsort((s, rank))[:first]]
                 else:
                     roots = s[:first]
-                coarse = np.bincount((s >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).clip(0, 65535).astype("<u2")
-                rows.append((doc, n, *set_name(s), roots.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes(), coarse.tobytes()))
+                rows.append((doc, n, *set_name(s), roots.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes(), coarse_counts(s)))
             if rows:
                 yield batch(schema, list(zip(*rows, strict=True)))
 
     return df.mapInArrow(make, POINTS)
 
 
+def coarse_counts(s: np.ndarray) -> bytes:
+    """A byte for each group: how many shingles fall into it. Groups double until no count passes 255."""
+    groups = max(LEAST_GROUPS, 1 << max(0, -(-len(s) // SPREAD) - 1).bit_length())
+    while True:
+        counts = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max() <= 255:
+            return counts.astype(np.uint8).tobytes()
+        groups *= 2
+
+
+def folded(counts: list[bytes], groups: int) -> np.ndarray:
+    """Counts of `groups` groups from finer ones: a group's number is a hash modulo their number, so finer groups add up."""
+    out = np.zeros((len(counts), groups), np.uint16)
+    sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+    for g in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == g)
+        wide = np.frombuffer(b"".join([counts[i] for i in own.tolist()]), np.uint8).reshape(len(own), g // groups, groups)
+        out[own] = wide.sum(1, dtype=np.uint16)
+    return out
+
+
 class Tree:
     """Points packed into leaves of LEAF and nodes of LEAF leaves, each with coordinate maxima and least size."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
-        self.sizes, self.counts = sizes, counts
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, finer: np.ndarray):
+        """finer: which points have more groups of their own; two of these meet in another tree."""
+        self.sizes, self.counts, self.finer = sizes, counts, finer
         self.leaves = np.arange(0, len(sizes), LEAF)
         self.high = np.maximum.reduceat(counts, self.leaves)
         self.small, self.large = np.minimum.reduceat(sizes, self.leaves), np.maximum.reduceat(sizes, self.leaves)
@@ -138,8 +163,9 @@ class Tree:
             rows = np.arange(at, n)
             rows = rows[found[rows] < skip[rows] + take]
             rows = rows[den * self.large[k] >= num * self.sizes[rows]]
-            for lo in range(0, len(rows), 4096):
-                part = rows[lo : lo + 4096]
+            step = max(1, (1 << 22) // (LEAF * self.counts.shape[1]))
+            for lo in range(0, len(rows), step):
+                part = rows[lo : lo + step]
                 bound = np.minimum(self.counts[part], self.high[k]).sum(1, dtype=np.int64)
                 part = part[bound >= needed(self.sizes[part], self.small[k], num, den)]
                 if not len(part):
@@ -147,7 +173,7 @@ class Tree:
                 inner = np.arange(at, min(at + LEAF, n))
                 bound = np.minimum(self.counts[part][:, None, :], self.counts[inner][None, :, :]).sum(2, dtype=np.int64)
                 ok = bound >= needed(self.sizes[part][:, None], self.sizes[inner][None, :], num, den)
-                ok &= inner[None, :] < part[:, None]
+                ok &= (inner[None, :] < part[:, None]) & ~(self.finer[part][:, None] & self.finer[inner][None, :])
                 place = found[part][:, None] + np.cumsum(ok, 1) - 1
                 found[part] += ok.sum(1)
                 a, b = np.nonzero(ok & (place >= skip[part][:, None]) & (place < skip[part][:, None] + take))
@@ -162,26 +188,36 @@ class Tree:
 def ask(members: DataFrame, skip: int, take: int, num: int, den: int) -> DataFrame:
     """(a, b) that survive in some tree. members: (key, node, n, counts, label), one tree for each key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    span = 2 << max(0, (den // num)).bit_length()  # sizes within den / num have group numbers within this
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def trees(table: pa.Table) -> pa.RecordBatch:
             key, node, size, label = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
-            counts = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u2").reshape(-1, GROUPS)
+            counts = table.column(3).to_pylist()
+            groups = np.fromiter(map(len, counts), np.int64, len(counts))
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             sizes = np.diff(np.append(starts, len(key)))
             pairs = [np.zeros((0, 2), np.int64)]
-            two = starts[sizes == 2]
-            ok = np.minimum(counts[two], counts[two + 1]).sum(1, dtype=np.int64) >= needed(size[two], size[two + 1], num, den)
-            ok &= (label[two] != label[two + 1]) & (skip == 0)
-            pairs.append(np.stack((node[two[ok]], node[two[ok] + 1]), 1))
+            if skip == 0:
+                two = starts[(sizes == 2)]
+                two = two[(label[two] != label[two + 1]) & (den * np.minimum(size[two], size[two + 1]) >= num * np.maximum(size[two], size[two + 1]))]
+                least = np.minimum(groups[two], groups[two + 1])
+                for g in np.unique(least).tolist():
+                    own = two[least == g]
+                    left, right = (folded([counts[i] for i in at.tolist()], g) for at in (own, own + 1))
+                    own = own[np.minimum(left, right).sum(1, dtype=np.int64) >= needed(size[own], size[own + 1], num, den)]
+                    pairs.append(np.stack((node[own], node[own + 1]), 1))
             for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own = slice(at, at + n)
-                if (label[own] == label[at]).all():
+                if (label[at : at + n] == label[at]).all():
                     continue
-                a, b = Tree(size[own], counts[own]).partners(np.full(n, skip), take, label[own], num, den)
-                pairs.append(np.stack((node[own][a], node[own][b]), 1))
+                every = groups[at : at + n]
+                for g in np.unique(every).tolist():  # a tree for each number of groups, with the finer points that may be near enough
+                    own = at + np.flatnonzero((every >= g) & (every <= g * span))
+                    if len(own) > 1:
+                        a, b = Tree(size[own], folded([counts[i] for i in own.tolist()], g), groups[own] > g).partners(np.full(len(own), skip), take, label[own], num, den)
+                        pairs.append(np.stack((node[own][a], node[own][b]), 1))
             found = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
             return batch(schema, [found[:, 0], found[:, 1]])
 
@@ -271,7 +307,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = new if links is None else links.unionByName(new)
         elif links is None:
             links = pairs
-        skip, take = skip + take, 2 * take
+        skip, take = skip + take, GROWTH * take
 
     edges = same.unionByName(to_ids(links, alone))
     comp = components(edges)
