@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, prepare
+from .common import batch, materialize, parts, prepare
 from .components import components
 
 THRESHOLD = 0.93
@@ -55,7 +55,7 @@ def signed(df: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         powers = 1 << np.arange(bits)
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for vec, label, values in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if (x := unit(values)) is None:

@@ -1,19 +1,22 @@
 """Near-duplicate documents by Jaccard similarity of word shingles: a forest of count-vector R-trees.
 
-Shingles are hashed into groups twice. In the fine grouping (64 bits) a document's point is sparse;
-two points whose summed coordinate minima reach the needed overlap share one of the first
-n - ceil(threshold * n) + 1 occupied coordinates of either, in any common order. So these
-coordinates are the roots of the forest, each a tree over the documents that occupy it, and common
-coordinates are ordered last. In the coarse grouping (a group for every
-few shingles, so that unrelated documents differ clearly at any size) each tree packs its points into
-leaves and nodes with their coordinate maxima. The overlap of a document with a point, leaf or node
-is at most the sum of the coordinate minima; what can't reach the threshold is pruned, and what
-survives is verified on the whole texts.
-
-Documents with equal shingle sets are one point. A document asks for its first TAKE surviving
-partners; when those are verified, documents already in one component need no more, and the others
-ask for the next ones, more each round, until no partner is left: hot groups of copies cost
-a few pairs each, and no pair of different components goes unverified.
+Where the trees stand. In a common order of shingles, rare ones first, two documents that reach the
+threshold share one of the first n - ceil(threshold * n) + 1 shingles of either: their roots. All
+documents that share a root are put under the least of them, their lead; as copies share many roots
+but few leads, a document goes into a few groups however many roots it shares.
+
+A tree. The tokens of a document, its shingles' hashes, are dealt into groups by hash, and the counts
+of the groups are its point. Points are packed by size into leaves and nodes with the coordinates'
+maxima; the overlap of a document with a point, leaf or node is at most the sum of the coordinate
+minima, and what can't reach the threshold is pruned. What survives is held against a second,
+finer grouping, of whose counts only the parities are kept: where they differ the two counts
+differ, which bounds the overlap again, near the truth. Pairs that survive both are verified at
+once on the whole sets, but only while the two are not in one component yet, so a tree gives a
+spanning forest of true links: fewer rows than it has points.
+
+A group of more than CELL bytes is dealt at random into blocks, one tree each. Blocks that
+are not one component by then meet two by two, at growing distances, until no two blocks of different
+components are left: copies are joined after a round or two, and no pair goes unverified.
 """
 
 from __future__ import annotations
@@ -27,35 +30,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, id_and_text, materialize, prepare, slices
+from .common import batch, fresh, materialize, parts, prepare, release, slices
 from .components import components
 from .words import mixed, runs, words
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: A document of n shingles has the least power of two of n / SPREAD groups or more, LEAST_GROUPS at least.
-SPREAD, LEAST_GROUPS = 8, 8
+#: A tree for documents of 2^k shingles has 2^k / SPREAD groups, LEAST_GROUPS at least, and PARITIES * 2^k of the finer ones.
+SPREAD, LEAST_GROUPS, PARITIES = 8, 8, 8
 LEAF = 32
-#: Characters hashed at once; the arrays for it take some fifty bytes each.
+#: Bytes of text hashed at once.
 SLICE = 1 << 19
-#: Pairs whose texts are unpacked at once.
-VERIFIED = 100
-TAKE = 1
-#: A round asks for so many times the partners of the one before.
-GROWTH = 8
-#: Bytes of a root coordinate's name for so many coordinates; two that share a name cost a needless comparison at worst.
+#: Bytes of text in a tree at most, unless one text alone is longer; a document counts as so many more.
+CELL, EXTRA = 8 << 20, 256
+#: Bytes of a root's name for so many roots; two that share a name cost a needless comparison at worst.
 SPARE_BITS = 16
-#: A coordinate that a batch's documents hold so often is reported as common; the COMMON most frequent are ordered last. Any order gives the same links.
+#: A shingle that a slice's documents hold so often is reported as common; the COMMON most frequent are ordered last. Any order gives the same links.
 OFTEN, COMMON = 4, 50_000
+#: Values in one array or pairs in one step, to bound memory.
+STEP = 1 << 21
 ONE = np.uint64(0x243F6A8885A308D3)
 
-POINTS = "doc_id long, n long, set_a long, set_b long, keys binary, counts binary"
+POINTS = "doc_id long, n long, set_a long, set_b long, bytes long, keys array<long>"
 
 
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, A-Z folded; fewer words than `width` are one shingle, none give none."""
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each UTF-8 text, A-Z folded; fewer words than `width` are one shingle, none give none."""
     out: list[np.ndarray] = []
     for lo, hi in slices(texts, SLICE):
-        hashes, bounds, _, _ = words([t.encode("utf-8", "replace") for t in texts[lo:hi]], fold_case=True)
+        hashes, bounds = words(texts[lo:hi], fold_case=True)
         every = runs(hashes, width)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= width:
@@ -75,289 +77,297 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int) -> np.n
     return -(-num * (a + b) // (num + den))
 
 
-def common_coordinates(texts: DataFrame, width: int) -> tuple[list[tuple[int, int]], int]:
-    """(coordinate, documents) of frequent coordinates, at most COMMON, and how many coordinates all documents occupy together."""
+def common_shingles(texts: DataFrame, width: int) -> tuple[list[tuple[int, int]], int]:
+    """(shingle, documents) of frequent shingles, at most COMMON, and how many shingles all documents have together."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("every", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                key, n = np.unique(np.concatenate(shingle_sets(b.column(0).to_pylist(), width)), return_counts=True)
-                every = int(n.sum())
-                key, n = key[n >= OFTEN], n[n >= OFTEN]
-                yield batch(schema, [[None, *key.view(np.int64).tolist()], [0, *n.tolist()], [every] + [0] * len(key)])
-
-    found = materialize(texts.mapInArrow(count, "key long, n long, every long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "common")
+        for b in parts(batches):
+            key, n = np.unique(np.concatenate(shingle_sets(b.column(0).to_pylist(), width)), return_counts=True)
+            every = int(n.sum())
+            key, n = key[n >= OFTEN], n[n >= OFTEN]
+            yield batch(schema, [[None, *key.view(np.int64).tolist()], [0, *n.tolist()], [every] + [0] * len(key)])
+
+    found = materialize(texts.select("text").mapInArrow(count, "key long, n long, every long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "common")
     total = found.where("key is null").select("every").collect()
-    return [tuple(r) for r in found.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key").limit(COMMON).collect()], total[0][0] if total else 0
+    often = [tuple(r) for r in found.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key").limit(COMMON).collect()]
+    release(found)
+    return often, total[0][0] if total else 0
 
 
-def key_bytes(coordinates: int) -> int:
-    return min(8, -(-(max(1, coordinates).bit_length() + SPARE_BITS) // 8))
+def key_bytes(roots: int) -> int:
+    return min(8, -(-(max(1, roots).bit_length() + SPARE_BITS) // 8))
 
 
-def points(df: DataFrame, width: int, num: int, den: int, common: list[tuple[int, int]], size: int) -> DataFrame:
-    """POINTS of every document: set size, the set's 128-bit name, root coordinates and coarse counts."""
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n", "set_a", "set_b")), ("keys", pa.binary()), ("counts", pa.binary())])
-    spark = df.sparkSession
+def points(texts: DataFrame, width: int, num: int, den: int, common: list[tuple[int, int]], size: int) -> DataFrame:
+    """POINTS of every document: set size, the set's 128-bit name, the text's length and the roots."""
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n", "set_a", "set_b", "bytes")), ("keys", pa.list_(pa.int64()))])
     keys = np.array([k for k, _ in common], np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], np.array([n for _, n in common], np.int64)[order]))  # COMMON rows of 16 bytes at most
+    shared = texts.sparkSession.sparkContext.broadcast((keys[order], np.array([n for _, n in common], np.int64)[order]))  # COMMON rows of 16 bytes at most
+    cut = np.uint64(64 - 8 * min(size, 7))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
-        for b in batches:
-            rows = []
-            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), width), strict=True):
+        for b in parts(batches):
+            raw, rows, roots = b.column(1).to_pylist(), [], []
+            for t, s in zip(raw, shingle_sets(raw, width), strict=True):
                 n = len(s)
                 first = n - -(-num * n // den) + 1 if n else 0
                 if n and len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, times[at], 0)
-                    roots = s[np.lexsort((s, rank))[:first]]
+                    roots.append(s[np.lexsort((s, rank))[:first]])
                 else:
-                    roots = s[:first]
-                rows.append((doc, n, *set_name(s), roots.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes(), coarse_counts(s)))
-            if rows:
-                yield batch(schema, list(zip(*rows, strict=True)))
-
-    return df.mapInArrow(make, POINTS)
-
-
-def coarse_counts(s: np.ndarray) -> bytes:
-    """A byte for each group: how many shingles fall into it. Groups double until no count passes 255."""
-    groups = max(LEAST_GROUPS, 1 << max(0, -(-len(s) // SPREAD) - 1).bit_length())
-    while True:
-        counts = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
-        if counts.max() <= 255:
-            return counts.astype(np.uint8).tobytes()
-        groups *= 2
-
-
-def folded(counts: list[bytes], groups: int) -> np.ndarray:
-    """Counts of `groups` groups from finer ones: a group's number is a hash modulo their number, so finer groups add up."""
-    out = np.zeros((len(counts), groups), np.uint16)
-    sizes = np.fromiter(map(len, counts), np.int64, len(counts))
-    for g in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == g)
-        wide = np.frombuffer(b"".join([counts[i] for i in own.tolist()]), np.uint8).reshape(len(own), g // groups, groups)
-        out[own] = wide.sum(1, dtype=np.uint16)
-    return out
+                    roots.append(s[:first])
+                rows.append((n, *set_name(s), len(t)))
+            ends = np.cumsum([0, *map(len, roots)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(roots) >> cut).view(np.int64)))
+            yield batch(schema, [b.column(0), *zip(*rows, strict=True), lists])
 
+    return texts.mapInArrow(make, POINTS)
 
-class Tree:
-    """Points packed into leaves of LEAF and nodes of LEAF leaves, each with coordinate maxima and least size."""
-
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, finer: np.ndarray):
-        """finer: which points have more groups of their own; two of these meet in another tree."""
-        self.sizes, self.counts, self.finer = sizes, counts, finer
-        self.leaves = np.arange(0, len(sizes), LEAF)
-        self.high = np.maximum.reduceat(counts, self.leaves)
-        self.small, self.large = np.minimum.reduceat(sizes, self.leaves), np.maximum.reduceat(sizes, self.leaves)
-
-    def partners(self, skip: np.ndarray, take: int, labels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each point the surviving earlier points numbered skip to skip + take, but those of its own component."""
-        n, found = len(self.sizes), np.zeros(len(self.sizes), np.int64)
-        left, right = [], []
-        for k, at in enumerate(self.leaves):
-            rows = np.arange(at, n)
-            rows = rows[found[rows] < skip[rows] + take]
-            rows = rows[den * self.large[k] >= num * self.sizes[rows]]
-            step = max(1, (1 << 22) // (LEAF * self.counts.shape[1]))
-            for lo in range(0, len(rows), step):
-                part = rows[lo : lo + step]
-                bound = np.minimum(self.counts[part], self.high[k]).sum(1, dtype=np.int64)
-                part = part[bound >= needed(self.sizes[part], self.small[k], num, den)]
-                if not len(part):
-                    continue
-                inner = np.arange(at, min(at + LEAF, n))
-                bound = np.minimum(self.counts[part][:, None, :], self.counts[inner][None, :, :]).sum(2, dtype=np.int64)
-                ok = bound >= needed(self.sizes[part][:, None], self.sizes[inner][None, :], num, den)
-                ok &= (inner[None, :] < part[:, None]) & ~(self.finer[part][:, None] & self.finer[inner][None, :])
-                place = found[part][:, None] + np.cumsum(ok, 1) - 1
-                found[part] += ok.sum(1)
-                a, b = np.nonzero(ok & (place >= skip[part][:, None]) & (place < skip[part][:, None] + take))
-                a, b = part[a], inner[b]
-                other = labels[a] != labels[b]
-                left.append(a[other])
-                right.append(b[other])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def ask(members: DataFrame, skip: int, take: int, num: int, den: int) -> DataFrame:
-    """(a, b) that survive in some tree. members: (key, node, n, counts, label), one tree for each key."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    span = 2 << max(0, (den // num)).bit_length()  # sizes within den / num have group numbers within this
-
-    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def trees(table: pa.Table) -> pa.RecordBatch:
-            key, node, size, label = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
-            counts = table.column(3).to_pylist()
-            groups = np.fromiter(map(len, counts), np.int64, len(counts))
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            sizes = np.diff(np.append(starts, len(key)))
-            pairs = [np.zeros((0, 2), np.int64)]
-            if skip == 0:
-                two = starts[(sizes == 2)]
-                two = two[(label[two] != label[two + 1]) & (den * np.minimum(size[two], size[two + 1]) >= num * np.maximum(size[two], size[two + 1]))]
-                least = np.minimum(groups[two], groups[two + 1])
-                for g in np.unique(least).tolist():
-                    own = two[least == g]
-                    left, right = (folded([counts[i] for i in at.tolist()], g) for at in (own, own + 1))
-                    own = own[np.minimum(left, right).sum(1, dtype=np.int64) >= needed(size[own], size[own + 1], num, den)]
-                    pairs.append(np.stack((node[own], node[own + 1]), 1))
-            for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if (label[at : at + n] == label[at]).all():
-                    continue
-                every = groups[at : at + n]
-                for g in np.unique(every).tolist():  # a tree for each number of groups, with the finer points that may be near enough
-                    own = at + np.flatnonzero((every >= g) & (every <= g * span))
-                    if len(own) > 1:
-                        a, b = Tree(size[own], folded([counts[i] for i in own.tolist()], g), groups[own] > g).partners(np.full(len(own), skip), take, label[own], num, den)
-                        pairs.append(np.stack((node[own][a], node[own][b]), 1))
-            found = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-            return batch(schema, [found[:, 0], found[:, 1]])
-
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) < 50_000:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column(0).to_numpy()
-            done = int(np.searchsorted(key, key[-1]))  # the last tree may go on in the next batch
-            if done:
-                yield trees(table.slice(0, done).combine_chunks())
-                held = table.slice(done).to_batches()
-        if held:
-            yield trees(pa.Table.from_batches(held).combine_chunks())
-
-    return members.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(query, "a long, b long").distinct()
-
-
-def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets reach the threshold. texts: (node, packed) of all nodes in pairs."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, VERIFIED):
-                b = whole.slice(at, VERIFIED)
-                names, packed = b.column(0).to_pylist(), dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-                sets, rows = dict(zip(packed, shingle_sets(unpacked(list(packed.values())), width), strict=True)), []
-                for i, j, y in zip(names, b.column(1).to_pylist(), shingle_sets(unpacked(b.column(3).to_pylist()), width), strict=True):
-                    x = sets[i]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        rows.append((i, j))
-                yield batch(schema, list(zip(*rows, strict=True)) if rows else [[], []])
-
-    left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
-    wide = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return wide.mapInArrow(check, "a long, b long")
-
-
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: components of documents linked at the threshold or more.
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name as two signed numbers."""
+    name = (int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ ONE).sum(dtype=np.uint64)))
+    return tuple(x - (1 << 64) if x >> 63 else x for x in name)
 
-    Documents without words, null texts included, have no shingles and link with nothing. Rows with
-    one id are one document: they share a component. A row without an id links with nothing and has
-    no component.
-    """
-    spark = prepare(df.sparkSession)
-    texts = id_and_text(df, id_col, text_col)
-    num, den = numerator, denominator
-    common, total = common_coordinates(texts.select("text"), width)
-    size = key_bytes(total)
-    every = materialize(points(texts, width, num, den, common, size), "points")
-    named = every.where("n > 0 and doc_id is not null")
-    sets = named.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("owner"))
-    same = named.select("doc_id", "set_a", "set_b", "n").join(sets, ["set_a", "set_b", "n"]).select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
-
-    # One row stands for each set. Its id names the node, but where rows repeat the id with other texts.
-    place = F.row_number().over(Window.partitionBy("owner").orderBy("set_a", "set_b"))
-    nodes = sets.withColumn("node", F.when(place == 1, F.col("owner")).otherwise(F.xxhash64("set_a", "set_b"))).select("set_a", "set_b", F.col("owner").alias("doc_id"), "node")
-    alone = named.join(nodes, ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b", "doc_id"])
-    alone = materialize(alone.select("node", "doc_id", "set_a", "set_b", "n", "keys", "counts"), "nodes")
-    at = F.explode(F.sequence(F.lit(0), (F.length("keys") / size).cast("int") - 1)).alias("i")
-    roots = alone.select("node", at, "keys").select("node", F.conv(F.hex(F.expr(f"substring(keys, {size} * i + 1, {size})")), 16, -10).cast("long").alias("key"))
-    crowds = materialize(roots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "crowds")
-    members = materialize(roots.join(crowds, "key").join(alone.select("node", "n", "counts"), "node"), "members")
-
-    links, text_of, skip, take = None, None, 0, TAKE
-    while True:
-        if links is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            labelled = members.join(components(links), "node", "left").withColumn("label", F.coalesce("component_id", "node"))
-            open_ = labelled.where(F.col("size") > skip + 1).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-            labelled = materialize(labelled.join(open_.select("key"), "key", "left_semi"), "open")
-            if labelled.isEmpty():
-                break
-        pairs = materialize(ask(labelled.select("key", "node", "n", "counts", "label"), skip, take, num, den), "pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            if text_of is not None:
-                wanted = wanted.join(text_of.select("node"), "node", "left_anti")
-            got = wanted_texts(texts, wanted.join(alone.select("node", "doc_id", "set_a", "set_b"), "node"), width)
-            text_of = materialize(got, "texts") if text_of is None else text_of.unionByName(materialize(got, "texts"))
-            new = materialize(verify(pairs, text_of, width, num, den), "links")
-            links = new if links is None else links.unionByName(new)
-        elif links is None:
-            links = pairs
-        skip, take = skip + take, GROWTH * take
-
-    edges = same.unionByName(to_ids(links, alone))
-    comp = components(edges)
-    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+class Tree:
+    """Points of one cell whose sizes are near enough to link, packed by size, with the nodes' maxima.
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df, all columns kept, that stand for their components: those with the least id, one row for each id. Rows without an id stay."""
-    kept = similar_documents(df, id_col, text_col, **options).where("doc_id = component_id").select("doc_id").distinct()
-    stay = df.join(kept, df[id_col].cast("long") == kept["doc_id"], "left_semi")
-    place = F.row_number().over(Window.partitionBy(stay[id_col]).orderBy(F.xxhash64(stay[text_col])))
-    return stay.withColumn("_place", place).where("_place = 1").drop("_place").unionByName(df.where(df[id_col].isNull()))
+    order: the cell's documents in the tree, by size; finer: which of them have a tree of their own among larger ones.
+    """
 
+    def __init__(self, sets: list[np.ndarray], order: np.ndarray, finer: np.ndarray, band: int):
+        self.order, self.finer = order, finer
+        self.sizes = np.fromiter((len(sets[i]) for i in order), np.int64, len(order))
+        groups, fine = max(LEAST_GROUPS, (1 << band) // SPREAD), max(64, PARITIES << band)
+        self.counts = np.zeros((len(order), groups), np.uint16)
+        self.parity = np.zeros((len(order), fine // 64), np.uint64)
+        step = max(1, STEP // fine)
+        for lo in range(0, len(order), step):
+            some = [sets[i] for i in order[lo : lo + step]]
+            rows = np.repeat(np.arange(len(some)), self.sizes[lo : lo + step])
+            flat = np.concatenate(some)
+            self.counts[lo : lo + step] = np.minimum(np.bincount(rows * groups + (flat >> np.uint64(7)).astype(np.int64) % groups, minlength=len(some) * groups), 65535).reshape(len(some), groups)
+            odd = np.bincount(rows * fine + (flat >> np.uint64(9)).astype(np.int64) % fine, minlength=len(some) * fine) & 1
+            self.parity[lo : lo + step] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(len(some), -1)
+        self.leaves = np.arange(0, len(order), LEAF)
+        self.high = np.maximum.reduceat(self.counts, self.leaves)
+
+    def near(self, rows: np.ndarray, high: np.ndarray, least: int, most: int, num: int, den: int) -> np.ndarray:
+        """Those of rows that may link with a document of `least` to `most` shingles under a node of these maxima."""
+        rows = rows[den * most >= num * self.sizes[rows]]
+        found, step = [rows[:0]], max(1, STEP // len(high))
+        for lo in range(0, len(rows), step):
+            part = rows[lo : lo + step]
+            found.append(part[np.minimum(self.counts[part], high).sum(1, dtype=np.int64) >= needed(self.sizes[part], least, num, den)])
+        return np.concatenate(found)
+
+    def pairs(self, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Surviving pairs of the cell's documents, leaf by leaf. label: each document's component, which the caller brings up to date."""
+        n = len(self.order)
+        for top in range(0, len(self.leaves), LEAF):
+            leaves = range(top, min(top + LEAF, len(self.leaves)))
+            under = np.arange(top * LEAF, n)
+            if len(leaves) > 1:
+                under = self.near(under, self.high[leaves.start : leaves.stop].max(0), int(self.sizes[top * LEAF]), int(self.sizes[min(n, (top + LEAF) * LEAF) - 1]), num, den)
+            for k in leaves:
+                inner = np.arange(self.leaves[k], min(self.leaves[k] + LEAF, n))
+                own = label[self.order[inner]]
+                rows = under[under >= inner[0]]
+                if (own == own[0]).all():
+                    rows = rows[label[self.order[rows]] != own[0]]
+                rows = self.near(rows, self.high[k], int(self.sizes[inner[0]]), int(self.sizes[inner[-1]]), num, den)
+                step = max(1, STEP // (len(inner) * max(self.parity.shape[1], self.counts.shape[1])))
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    least = needed(self.sizes[part][:, None], self.sizes[inner][None, :], num, den)
+                    ok = np.minimum(self.counts[part][:, None, :], self.counts[inner][None, :, :]).sum(2, dtype=np.int64) >= least
+                    ok &= (inner[None, :] < part[:, None]) & ~(self.finer[part][:, None] & self.finer[inner][None, :])
+                    a, b = np.nonzero(ok)
+                    a, b = part[a], inner[b]
+                    apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).sum(1, dtype=np.int64)
+                    keep = self.sizes[a] + self.sizes[b] - apart >= 2 * needed(self.sizes[a], self.sizes[b], num, den)
+                    yield self.order[a[keep]], self.order[b[keep]]
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = y.searchsorted(x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def links_of(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the true links between documents of different labels, and of different sides where sides are given."""
+    label, out = np.unique(label, return_inverse=True)[1], []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def true(a: int, b: int) -> bool:
+        both = overlap(sets[a], sets[b])
+        return den * both >= num * (int(sizes[a]) + int(sizes[b]) - both)
+
+    if len(sets) == 2:
+        return [(0, 1)] if label[0] != label[1] and (side is None or side[0] != side[1]) and den * sizes.min() >= num * sizes.max() and true(0, 1) else []
+    bands = np.array([n.bit_length() - 1 for n in sizes.tolist()])
+    span = (den // num).bit_length()  # sizes within den / num are of bands within this
+    for band in np.unique(bands).tolist():
+        own = np.flatnonzero((bands >= band) & (bands <= band + span))
+        if len(own) < 2 or (label[own] == label[own[0]]).all():
+            continue
+        own = own[np.argsort(sizes[own], kind="stable")]
+        for a, b in Tree(sets, own, bands[own] > band, band).pairs(label, num, den):
+            if side is not None:
+                a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+            tries = 1
+            while True:  # pairs of different components, `tries` of each two components at a time
+                open_ = label[a] != label[b]
+                a, b = a[open_], b[open_]
+                if not len(a):
+                    break
+                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                by = np.lexsort((high, low))
+                a, b, low, high = a[by], b[by], low[by], high[by]
+                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+                place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+                now = place < tries
+                for i, j in zip(a[now].tolist(), b[now].tolist(), strict=True):
+                    if label[i] != label[j] and true(i, j):
+                        out.append((i, j))
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                a, b, tries = a[~now], b[~now], 4 * tries
+    return out
 
-def to_ids(links: DataFrame, alone: DataFrame) -> DataFrame:
-    a = alone.select(F.col("node").alias("a"), F.col("doc_id").alias("id_a"))
-    b = alone.select(F.col("node").alias("b"), F.col("doc_id").alias("id_b"))
-    return links.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
+def find_links(cells: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): true links of each cell, at most one for each of its documents. cells: (lead, low, high, node, own, label, packed), a cell in one task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def wanted_texts(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, packed) of rows (node, doc_id, set_a, set_b): the compressed text whose id and set these are. Texts are moved compressed."""
-    sent = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        now, held, found = None, [], []
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            node, own, label, sets = zip(*held, strict=True)
+            side = np.array(own) if now[1] != now[2] else None
+            found.extend((node[i], node[j]) for i, j in links_of(list(sets), np.array(label), side, num, den))
+
+        for b in parts(batches, 256):
+            lead, low, high, node, own, label, packed = (c.to_pylist() for c in b.columns)
+            sets = shingle_sets([expand(p) for p in packed], width)
+            for key, row in zip(zip(lead, low, high, strict=True), zip(node, own, label, sets, strict=True), strict=True):
+                if key != now:
+                    close()
+                    now, held = key, []
+                if len(row[3]):
+                    held.append(row)
+            if len(found) > 10_000:
+                yield batch(schema, list(zip(*found, strict=True)))
+                found.clear()
+        close()
+        if found:
+            yield batch(schema, list(zip(*found, strict=True)))
+
+    return cells.repartition("lead", "low", "high").sortWithinPartitions("lead", "low", "high").mapInArrow(find, "a long, b long")
+
+
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(node, packed): texts compressed, as they are moved."""
+    schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            yield batch(sent, [b.column(0), [squeeze(t.encode("utf-8", "replace")) for t in b.column(1).to_pylist()]])
-
-    own = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, VERIFIED):
-                node, packed, set_a, set_b = (c.to_pylist() for c in whole.slice(at, VERIFIED).columns)
-                found = [set_name(s) for s in shingle_sets(unpacked(packed), width)]
-                keep = [i for i, name in enumerate(found) if name == (set_a[i], set_b[i])]
-                yield batch(own, [[node[i] for i in keep], [packed[i] for i in keep]])
+        for b in parts(batches):
+            yield batch(schema, [b.column(0), [squeeze(t) for t in b.column(1).to_pylist()]])
+
+    return texts.where("doc_id is not null").mapInArrow(send, "node long, packed binary")
+
+
+def linked(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int, cell: int) -> DataFrame:
+    """(a, b): true links that join what can be joined. reps: (rep, bytes, keys) of documents that stand for their sets."""
+    roots = reps.where("keys is not null").select(F.col("rep").alias("node"), "bytes", F.explode("keys").alias("key"))
+    crowds = materialize(roots.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "crowds")
+    members = materialize(roots.join(crowds, "key").groupBy("lead", "node").agg(F.max("bytes").alias("bytes")), "members")
+    release(crowds)
+    groups = members.groupBy("lead").agg((F.sum(F.col("bytes") + EXTRA) / cell).alias("cells"))
+    groups = materialize(groups.select("lead", F.greatest(F.lit(1), F.ceil("cells")).alias("blocks")).where("blocks > 1"), "large")
+    members = members.join(groups, "lead", "left").select("lead", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    packed = packed_texts(texts)
+    cells = members.join(packed, "node").select("lead", F.col("own").alias("low"), F.col("own").alias("high"), "node", "own", F.col("node").alias("label"), "packed")
+    links = [materialize(find_links(cells, width, num, den), "links")]
+    reach = 1
+    if not groups.isEmpty():
+        large = materialize(members.where("blocks > 1"), "blocks")
+        most = large.agg(F.max("blocks")).first()[0]
+        held = materialize(packed.join(large.select("node").distinct(), "node", "left_semi"), "block-texts")
+        while reach < most:
+            joined = components(every(links))
+            labelled = materialize(large.join(joined, "node", "left").select("lead", "node", "blocks", "own", F.coalesce("component_id", "node").alias("label")), "labels")
+            release(joined)
+            block = labelled.groupBy("lead", "blocks", "own").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+            far = F.explode(F.sequence(F.col("own") + reach, F.least(F.col("own") + 2 * reach, F.col("blocks")) - 1))
+            near = block.where(F.col("own") + reach < F.col("blocks")).select("lead", F.col("own").alias("low"), F.col("least").alias("a"), F.col("most").alias("b"), far.alias("high"))
+            other = block.select("lead", F.col("own").alias("high"), F.col("least").alias("c"), F.col("most").alias("d"))
+            two = materialize(near.join(other, ["lead", "high"]).where("a != b or c != d or a != c").select("lead", "low", "high"), "meetings")
+            if not two.isEmpty():
+                sides = two.select("lead", "low", "high", F.explode(F.array("low", "high")).alias("own"))
+                cells = sides.join(labelled.drop("blocks"), ["lead", "own"]).join(held, "node").select("lead", "low", "high", "node", "own", "label", "packed")
+                links.append(materialize(find_links(cells, width, num, den), "links"))
+            release(labelled, two)
+            reach *= 2
+        release(large, held)
+    release(groups, members)
+    return links
+
+
+def every(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
-    joined = texts.mapInArrow(send, "doc_id long, packed binary").join(wanted, "doc_id")
-    return joined.select("node", "packed", "set_a", "set_b").mapInArrow(pick, "node long, packed binary").dropDuplicates(["node"])
 
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, cell: int = CELL) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: components of documents linked at the threshold or more.
 
-def unpacked(packed: list[bytes]) -> list[str]:
-    expand = zstandard.ZstdDecompressor().decompress
-    return [expand(p).decode() for p in packed]
+    Documents without words, null texts included, have no shingles and link with nothing. Rows with
+    one id are one document, which links as any of its texts does: they share a component. A row
+    without an id links with nothing and has no component. An empty table gives no rows.
+    """
+    spark = prepare(df.sparkSession)
+    texts = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).cast("binary").alias("text"))
+    num, den = numerator, denominator
+    common, total = common_shingles(texts, width)
+    found = materialize(points(texts, width, num, den, common, key_bytes(total)), "points")
+    name = ["set_a", "set_b", "n"]
+    twins = found.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    twins = materialize(twins, "twins")  # a table of its own, so that a set which very many documents have is a skewed join that Spark can split
+    rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("owner", "doc_id"))
+    reps = materialize(found.join(twins, name, "left").select("doc_id", "n", rep.alias("rep"), "bytes", F.when(rep == F.col("doc_id"), F.col("keys")).alias("keys")), "reps")
+    release(found, twins)
+    links = linked(reps, texts, width, num, den, cell)
+
+    # An id with several sets ties what stands for them.
+    split = reps.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
+    ties = reps.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = components(every([*links, ties]))
+    release(*links)
+    out = reps.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
 
 
-def set_name(s: np.ndarray) -> tuple[int, int]:
-    """A set's 128-bit name as two signed numbers."""
-    name = (int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ ONE).sum(dtype=np.uint64)))
-    return tuple(x - (1 << 64) if x >> 63 else x for x in name)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, all columns kept, that stand for their components: those with the least id, one row for each id. Rows without an id stay."""
+    kept = similar_documents(df, id_col, text_col, **options).where("doc_id = component_id").select("doc_id").distinct()
+    key, place = fresh(df, "key"), fresh(df, "place")
+    rows = df.withColumn(key, df[id_col].cast("long"))
+    stay = rows.join(kept.withColumnRenamed("doc_id", key), key, "left_semi")
+    stay = stay.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_col)))).where(F.col(place) == 1)
+    return stay.select(*df.columns).unionByName(df.where(df[id_col].isNull()))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, prepare, scratch
+from .common import batch, materialize, parts, prepare, scratch
 
 UNIT = 64
 WINDOW = 32
@@ -99,7 +99,7 @@ def manifests(df: DataFrame, payload_col: str | Column, id_col: str = "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *((n, pa.binary()) for n in ("payload_sha", "digests", "lengths"))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = padded(raw)
@@ -140,13 +140,13 @@ def write_media(df: DataFrame, payload_col: str | Column, path: str, id_col: str
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in parts(batches):
             data = [padded(raw) for raw in b.column(1).to_pylist()]
             yield batch(sent, [b.column(0), [hashlib.sha256(x).digest() for x in data], [squeeze(x) for x in data]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, done = zstandard.ZstdDecompressor().decompress, set()
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for sha, packed, seqs, mine in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if sha in done:  # a repeated row
@@ -188,14 +188,14 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     piece = pa.schema([("payload_sha", pa.binary()), ("seq", pa.int32()), ("digest", pa.binary()), ("bytes", pa.binary())])
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = [described(data, digests, lengths, sha) for sha, digests, lengths, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
             if rows:
                 yield batch(whole, list(zip(*rows, strict=True)))
 
     def own(shared_only: bool):
         def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches):
                 rows = []
                 for sha, digests, lengths, owned, shared, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                     rows += [(sha, k, d, x) for k, d, x in split((digests, lengths, owned, data)) if not shared_only or shared[k]]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkEncoder
-from .common import batch, id_and_text, prepare, slices
+from .common import batch, id_and_text, parts, prepare, slices
 
 CAPACITY = 2048
 #: Documents in a group, on average.
@@ -73,7 +73,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer_path)
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 flat, bounds = encoder.encode(texts[lo:hi])

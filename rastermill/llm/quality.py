@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, id_and_text, materialize, prepare
+from .common import batch, crc_mod, id_and_text, materialize, parts, prepare
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -65,7 +65,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.float64()) for i in range(DIMS))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             if b.num_rows:
                 yield batch(schema, [b.column(0), *np.array([statistics(t) for t in b.column(1).to_pylist()]).T])
 
@@ -160,7 +160,7 @@ def score(measured: DataFrame, model: Discriminant) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             if b.num_rows:
                 yield batch(schema, [b.column(0), model.scores(np.stack([c.to_numpy() for c in b.columns[1:]], 1))])
 

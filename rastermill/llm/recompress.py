@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, prepare, slices
+from .common import batch, materialize, parts, prepare, slices
 from .words import ALL, BASE, mixed, powers, rolling, words
 
 WIDTH = 50
@@ -128,10 +128,10 @@ def find_segments(texts: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids, texts_, rows = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in slices(texts_, SLICE):
-                names, bounds, _, _ = words([t.encode("utf-8", "replace") for t in texts_[lo:hi]])
+                names, bounds = words([t.encode("utf-8", "replace") for t in texts_[lo:hi]])
                 doc, start, count, key, content = segments(names, bounds, width)
                 if len(doc):
                     yield batch(schema, [np.array(rows[lo:hi])[doc], np.array(ids[lo:hi])[doc], key.view(np.int64), content.view(np.int64), start.astype(np.int32), count.astype(np.int32)])
@@ -144,7 +144,7 @@ def window_names(owned: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for row, doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 names = words([text.encode("utf-8", "replace")])[0]
                 one, two = (rolling(names, width, base).view(np.int64) for base in (BASE, OTHER_BASE))
@@ -159,7 +159,7 @@ def clean(texts: DataFrame, width: int) -> DataFrame:
     """CLEANED of rows (doc_id, text, spans, extra): spans (start, count) of windows to remove, or null; extra goes along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own = text.encode("utf-8", "replace").split()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import batch, id_and_text, prepare, slices
+from .common import batch, id_and_text, parts, prepare, slices
 
 SHARD_IDS = 1 << 20
 END_ID = 2
@@ -200,7 +200,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
             return batch(schema, [[row[f.name]] for f in schema])
 
         size = 0
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 flat, bounds = encoder.encode(texts[lo:hi])
@@ -225,7 +225,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for row in b.to_pylist():
                 shard, at, rows = Shard(row), row["base"], []
                 for doc, ids in zip(shard.doc_ids, shard.documents(), strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunks import ChunkEncoder, distinct_chunks
-from .common import batch, id_and_text, prepare, slices
+from .common import batch, id_and_text, parts, prepare, slices
 
 #: Fixed value: how byte-level BPE of this kind cuts a text into pieces.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -230,7 +230,7 @@ def prefix_token_counts(df: DataFrame, tokenizer_path: str, budget: int = LIMIT,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter.of(tokenizer_path)
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
                 found = counter.prefixes(texts[lo:hi])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, id_and_text, materialize, prepare
+from .common import batch, crc_mod, id_and_text, materialize, parts, prepare
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -121,7 +121,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     counted = pa.schema([("gram", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for y in (0, 1):
                 texts = [t for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if c == y]
                 own = [np.unique(np.concatenate([*ngrams(t), np.zeros(0, np.int64)])) for t in texts]
@@ -141,7 +141,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     blank = Linear(keys, ratio, bias)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield batch(pa.schema([("y", pa.int64()), ("at", pa.binary())]), [b.column(2).cast(pa.int64()), [blank.present(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()]])
 
     got = sample.mapInArrow(read, "y long, at binary").collect()  # 2 * SAMPLE_ROWS rows of 2 * FEATURES bytes at most
@@ -159,7 +159,7 @@ def score(df: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield batch(schema, [b.column(0), [model.score(t) for t in b.column(1).to_pylist()]])
 
     prepare(df.sparkSession)

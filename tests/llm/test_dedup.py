@@ -73,6 +73,64 @@ def test_jaccard_with_a_large_group(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_a_group_of_many_blocks(spark):
+    """Chains whose neighbours alone link, in one group that no tree holds: blocks meet until all is joined."""
+    texts = []
+    for i in range(40):
+        texts.append((i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))))
+    texts += [(1000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100)) + f" own{i}") for i in range(0, 40, 10)]
+    sets = {i: shingles(t, 4) for i, t in texts}
+    u = Union(sets)
+    for x in sets:
+        for y in sets:
+            if x < y and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                u.join(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), width=4, numerator=85, denominator=100, cell=5000).collect()}
+    assert got == {i: u.find(i) for i in sets}
+    assert len(set(got.values())) < 20
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (50, 100), (30, 100)])
+def test_trees_lose_nothing(num, den):
+    r = np.random.default_rng(num)
+    base = r.integers(1, 1 << 63, 6000, dtype=np.uint64)
+    sets = []
+    for size in (1, 2, 5, 9, 40, 70, 300, 900, 5000):
+        for change in (0, 0.02, 0.05, 0.08, 0.1, 0.2, 0.5):
+            own = base[:size].copy()
+            own[r.random(size) < change] = r.integers(1, 1 << 63, dtype=np.uint64)
+            sets += [np.unique(own), np.unique(np.append(own, r.integers(1, 1 << 63, size // 9, dtype=np.uint64)))]
+    side = r.integers(0, 2, len(sets))
+    for sides in (None, side):
+        u, mine = Union(range(len(sets))), Union(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both) and (sides is None or sides[i] != sides[j]):
+                    u.join(i, j)
+        found = jaccard.links_of(sets, np.arange(len(sets)), sides, num, den)
+        assert len(found) < len(sets)
+        for i, j in found:
+            mine.join(i, j)
+        assert [u.find(i) for i in range(len(sets))] == [mine.find(i) for i in range(len(sets))]
+
+
+def test_words_of_long_texts():
+    from rastermill.llm import words
+
+    r = np.random.default_rng(1)
+    text = bytes(r.choice(np.frombuffer(b"ab  \n\tAZ\xc3\xa9", np.uint8), 5000)) + b"x" * 700 + b" end"
+    want = words.words([text], True)[0]
+    assert len(want) == len(text.split())
+    for stretch in (1, 7, 64, 333, 5000):
+        assert (words.long_text(text, True, stretch) == want).all()
+    assert len(words.long_text(b"", True)) == len(words.long_text(b"  ", True)) == 0
+    short = [b"a b", b"", b" c", text, b"a"]
+    hashes, bounds = words.words(short)
+    assert np.diff(bounds).tolist() == [len(t.split()) for t in short]
+    assert hashes[0] == hashes[-1]
+
+
 def test_one_id_with_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     got = jaccard.similar_documents(spark.createDataFrame([(5, a), (5, b), (7, a), (9, b)], "doc_id long, text string")).collect()
@@ -81,8 +139,8 @@ def test_one_id_with_two_texts(spark):
 
 
 def test_keep_one(spark, docs):
-    kept = jaccard.keep_one(docs)
-    assert set(kept.columns) == set(docs.columns)
+    kept = jaccard.keep_one(docs.withColumn("place", F.lit(9)).withColumnRenamed("key", "KEY"))
+    assert kept.select("place", "KEY").distinct().collect() == [(9, 1)]
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 44 in ids
     assert not {45, 46, 47} & set(ids)
