@@ -74,19 +74,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing.
-
-    The shuffle files of the job go as soon as it has ended, as nothing can read them again. The table
-    stays until release(): an operator drops what its result doesn't read.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Writes df as Parquet. The job's shuffle files go as soon as it has ended, as nothing can read them again."""
+    spark = df.sparkSession
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing.
+
+    The table stays until release(): an operator drops what its result doesn't read.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

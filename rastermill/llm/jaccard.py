@@ -2,8 +2,9 @@
 
 Where the trees stand. In a common order of shingles, rare ones first, two documents that reach the
 threshold share one of the first n - ceil(threshold * n) + 1 shingles of either: their roots. All
-documents that share a root are put under the least of them, their lead; as copies share many roots
-but few leads, a document goes into a few groups however many roots it shares.
+documents that share a root and whose sizes are near enough to link are put under the least of them,
+their lead; as copies share many roots but few leads, a document goes into a few groups however
+many roots it shares.
 
 A tree. The tokens of a document, its shingles' hashes, are dealt into groups by hash, and the counts
 of the groups are its point. Points are packed by size into leaves and nodes with the coordinates'
@@ -21,6 +22,7 @@ components are left: copies are joined after a round or two, and no pair goes un
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import batch, fresh, materialize, parts, prepare, release, slices
 from .components import components
-from .words import mixed, runs, words
+from .words import distinct, mixed, runs, words
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: A tree for documents of 2^k shingles has 2^k / SPREAD groups, LEAST_GROUPS at least, and PARITIES * 2^k of the finer ones.
@@ -61,7 +63,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         every = runs(hashes, width)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= width:
-                out.append(np.unique(every[a : b - width + 1]))
+                out.append(distinct(every[a : b - width + 1]))
             elif b > a:
                 short = np.full(1, b - a, np.uint64) * ONE
                 for k in range(a, b):
@@ -290,11 +292,17 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 
 
 def linked(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int, cell: int) -> DataFrame:
-    """(a, b): true links that join what can be joined. reps: (rep, bytes, keys) of documents that stand for their sets."""
-    roots = reps.where("keys is not null").select(F.col("rep").alias("node"), "bytes", F.explode("keys").alias("key"))
-    crowds = materialize(roots.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead"), "crowds")
-    members = materialize(roots.join(crowds, "key").groupBy("lead", "node").agg(F.max("bytes").alias("bytes")), "members")
-    release(crowds)
+    """(a, b): true links that join what can be joined. reps: (rep, n, bytes, keys) of documents that stand for their sets."""
+    roots = reps.where("keys is not null").select(F.col("rep").alias("node"), "n", "bytes", F.explode("keys").alias("key"))
+    crowds = materialize(roots.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key"), "crowds")
+    # Sizes that can link are in one band or in neighbouring ones, and two such bands are one slot of either kind.
+    size = F.floor(F.log("n") / (1.0001 * math.log(den / num))) if num < den else F.col("n")
+    crowded = roots.join(crowds, "key").select("key", "node", "bytes", F.explode(F.array(2 * F.floor(size / 2), 2 * F.floor((size + 1) / 2) + 1)).alias("slot"))
+    crowded = materialize(crowded, "crowded")
+    near = crowded.groupBy("key", "slot").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").drop("last")
+    near = materialize(near, "near")
+    members = materialize(crowded.join(near, ["key", "slot"]).groupBy("lead", "node").agg(F.max("bytes").alias("bytes")), "members")
+    release(crowds, crowded, near)
     groups = members.groupBy("lead").agg((F.sum(F.col("bytes") + EXTRA) / cell).alias("cells"))
     groups = materialize(groups.select("lead", F.greatest(F.lit(1), F.ceil("cells")).alias("blocks")).where("blocks > 1"), "large")
     members = members.join(groups, "lead", "left").select("lead", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))

@@ -108,6 +108,14 @@ def words(raw: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.nda
     return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum(counts)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; faster than np.unique's hash table for what documents hold."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def runs(hashes: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """The hash of each `width` hashes in a row; shorter input has none."""
     if len(hashes) < width:
