@@ -15,6 +15,10 @@ differ, which bounds the overlap again, near the truth. Pairs that survive both
 once on the whole sets, but only while the two are not in one component yet, so a tree gives a
 spanning forest of true links: fewer rows than it has points.
 
+Trees are built twice. The first ones, of points from small sketches that are made with the roots, tell
+which documents of a group have any partner there; only these documents' texts are moved, and their sets
+fill the second ones. Documents that share a root by chance, more and more as a corpus grows, go no further.
+
 A group of more than CELL bytes is dealt at random into blocks, one tree each. Blocks that
 are not one component by then meet two by two, at growing distances, until no two blocks of different
 components are left: copies are joined after a round or two, and no pair goes unverified.
@@ -37,8 +41,8 @@ from .components import components
 from .words import distinct, mixed, runs, words
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: A tree for documents of 2^k shingles has 2^k / SPREAD groups, LEAST_GROUPS at least, and PARITIES * 2^k of the finer ones.
-SPREAD, LEAST_GROUPS, PARITIES = 8, 8, 8
+#: A point of 2^k shingles or more has 2^k / SPREAD groups, LEAST_GROUPS at least, and PARITIES * 2^k of the finer ones: for sketches, and for sets.
+LEAST_GROUPS, SKETCH, FULL = 8, (16, 1), (8, 8)
 LEAF = 32
 #: Bytes of text hashed at once.
 SLICE = 1 << 19
@@ -52,7 +56,7 @@ OFTEN, COMMON = 4, 50_000
 STEP = 1 << 21
 ONE = np.uint64(0x243F6A8885A308D3)
 
-POINTS = "doc_id long, n long, set_a long, set_b long, bytes long, keys array<long>"
+POINTS = "doc_id long, n long, set_a long, set_b long, bytes long, keys array<long>, counts binary, parity binary"
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -102,8 +106,8 @@ def key_bytes(roots: int) -> int:
 
 
 def points(texts: DataFrame, width: int, num: int, den: int, common: list[tuple[int, int]], size: int) -> DataFrame:
-    """POINTS of every document: set size, the set's 128-bit name, the text's length and the roots."""
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n", "set_a", "set_b", "bytes")), ("keys", pa.list_(pa.int64()))])
+    """POINTS of every document: set size, the set's 128-bit name, the text's length, the roots and the sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n", "set_a", "set_b", "bytes")), ("keys", pa.list_(pa.int64())), ("counts", pa.binary()), ("parity", pa.binary())])
     keys = np.array([k for k, _ in common], np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = texts.sparkSession.sparkContext.broadcast((keys[order], np.array([n for _, n in common], np.int64)[order]))  # COMMON rows of 16 bytes at most
@@ -112,7 +116,7 @@ def points(texts: DataFrame, width: int, num: int, den: int, common: list[tuple[
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = shared.value
         for b in parts(batches):
-            raw, rows, roots = b.column(1).to_pylist(), [], []
+            raw, rows, roots, marks = b.column(1).to_pylist(), [], [], []
             for t, s in zip(raw, shingle_sets(raw, width), strict=True):
                 n = len(s)
                 first = n - -(-num * n // den) + 1 if n else 0
@@ -123,9 +127,10 @@ def points(texts: DataFrame, width: int, num: int, den: int, common: list[tuple[
                 else:
                     roots.append(s[:first])
                 rows.append((n, *set_name(s), len(t)))
+                marks.append([x.tobytes() for x in point(s, *SKETCH)] if n else [None, None])
             ends = np.cumsum([0, *map(len, roots)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(roots) >> cut).view(np.int64)))
-            yield batch(schema, [b.column(0), *zip(*rows, strict=True), lists])
+            yield batch(schema, [b.column(0), *zip(*rows, strict=True), lists, *zip(*marks, strict=True)])
 
     return texts.mapInArrow(make, POINTS)
 
@@ -136,26 +141,48 @@ def set_name(s: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in name)
 
 
+def point(s: np.ndarray, spread: int, parities: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's point: the counts of its groups, a byte each, and the parities of the finer groups' counts, 64 to a word.
+
+    A shingle's group is its hash modulo the number of groups, a power of two: so fewer groups are sums of
+    more, or exclusive ors. Groups double where a count passes a byte.
+    """
+    band = len(s).bit_length() - 1
+    groups = max(LEAST_GROUPS, (1 << band) // spread)
+    at = (s >> np.uint64(7)).astype(np.int64)
+    while (counts := np.bincount(at & (groups - 1), minlength=groups)).max() > 255:
+        groups *= 2
+    fine = max(64, parities << band)
+    odd = np.bincount((s >> np.uint64(9)).astype(np.int64) & (fine - 1), minlength=fine) & 1
+    return counts.astype(np.uint8), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fewer(a: np.ndarray, n: int, combine: np.ufunc) -> np.ndarray:
+    """A point's counts, or parities, for n groups, or words."""
+    return a if len(a) == n else combine.reduce(a.reshape(-1, n), axis=0)
+
+
+def may_link(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray], a: int, b: int, num: int, den: int) -> bool:
+    """Whether points of sets of a and b shingles don't rule out a link."""
+    if num * max(a, b) > den * min(a, b):
+        return False
+    least, groups, n = needed(a, b, num, den), min(len(p[0]), len(q[0])), min(len(p[1]), len(q[1]))
+    if int(np.minimum(fewer(p[0].astype(np.int64), groups, np.add), fewer(q[0].astype(np.int64), groups, np.add)).sum()) < least:
+        return False
+    return a + b - int(np.bitwise_count(fewer(p[1], n, np.bitwise_xor) ^ fewer(q[1], n, np.bitwise_xor)).sum()) >= 2 * least
+
+
 class Tree:
     """Points of one cell whose sizes are near enough to link, packed by size, with the nodes' maxima.
 
     order: the cell's documents in the tree, by size; finer: which of them have a tree of their own among larger ones.
     """
 
-    def __init__(self, sets: list[np.ndarray], order: np.ndarray, finer: np.ndarray, band: int):
-        self.order, self.finer = order, finer
-        self.sizes = np.fromiter((len(sets[i]) for i in order), np.int64, len(order))
-        groups, fine = max(LEAST_GROUPS, (1 << band) // SPREAD), max(64, PARITIES << band)
-        self.counts = np.zeros((len(order), groups), np.uint16)
-        self.parity = np.zeros((len(order), fine // 64), np.uint64)
-        step = max(1, STEP // fine)
-        for lo in range(0, len(order), step):
-            some = [sets[i] for i in order[lo : lo + step]]
-            rows = np.repeat(np.arange(len(some)), self.sizes[lo : lo + step])
-            flat = np.concatenate(some)
-            self.counts[lo : lo + step] = np.minimum(np.bincount(rows * groups + (flat >> np.uint64(7)).astype(np.int64) % groups, minlength=len(some) * groups), 65535).reshape(len(some), groups)
-            odd = np.bincount(rows * fine + (flat >> np.uint64(9)).astype(np.int64) % fine, minlength=len(some) * fine) & 1
-            self.parity[lo : lo + step] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(len(some), -1)
+    def __init__(self, points: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, order: np.ndarray, finer: np.ndarray):
+        self.order, self.finer, self.sizes = order, finer, sizes[order]
+        groups, n = (min(len(points[i][k]) for i in order) for k in (0, 1))
+        self.counts = np.stack([fewer(points[i][0].astype(np.uint16), groups, np.add) for i in order])
+        self.parity = np.stack([fewer(points[i][1], n, np.bitwise_xor) for i in order])
         self.leaves = np.arange(0, len(order), LEAF)
         self.high = np.maximum.reduceat(self.counts, self.leaves)
 
@@ -204,6 +231,28 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
+def trees(points: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, label: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell's documents, of different labels as these now are, that survive: from a tree for each band of sizes, with the bands that link into it."""
+    bands = np.array([n.bit_length() - 1 for n in sizes.tolist()])
+    span = (den // num).bit_length()  # sizes within den / num are of bands within this
+    for band in np.unique(bands).tolist():
+        own = np.flatnonzero((bands >= band) & (bands <= band + span))
+        if len(own) > 1 and (label[own] != label[own[0]]).any():
+            own = own[np.argsort(sizes[own], kind="stable")]
+            yield from Tree(points, sizes, own, bands[own] > band).pairs(label, num, den)
+
+
+def partnered(points: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which documents of a cell have a partner that survives."""
+    seen = np.zeros(len(sizes), bool)
+    if len(sizes) == 2:
+        seen[:] = may_link(*points, *sizes.tolist(), num, den)
+        return seen
+    for a, b in trees(points, sizes, np.arange(len(sizes)), num, den):
+        seen[a] = seen[b] = True
+    return seen
+
+
 def links_of(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the true links between documents of different labels, and of different sides where sides are given."""
     label, out = np.unique(label, return_inverse=True)[1], []
@@ -213,38 +262,61 @@ def links_of(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None,
         both = overlap(sets[a], sets[b])
         return den * both >= num * (int(sizes[a]) + int(sizes[b]) - both)
 
+    points = [point(s, *FULL) for s in sets]
     if len(sets) == 2:
-        return [(0, 1)] if label[0] != label[1] and (side is None or side[0] != side[1]) and den * sizes.min() >= num * sizes.max() and true(0, 1) else []
-    bands = np.array([n.bit_length() - 1 for n in sizes.tolist()])
-    span = (den // num).bit_length()  # sizes within den / num are of bands within this
-    for band in np.unique(bands).tolist():
-        own = np.flatnonzero((bands >= band) & (bands <= band + span))
-        if len(own) < 2 or (label[own] == label[own[0]]).all():
-            continue
-        own = own[np.argsort(sizes[own], kind="stable")]
-        for a, b in Tree(sets, own, bands[own] > band, band).pairs(label, num, den):
-            if side is not None:
-                a, b = a[side[a] != side[b]], b[side[a] != side[b]]
-            tries = 1
-            while True:  # pairs of different components, `tries` of each two components at a time
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
-                if not len(a):
-                    break
-                low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                by = np.lexsort((high, low))
-                a, b, low, high = a[by], b[by], low[by], high[by]
-                first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-                place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-                now = place < tries
-                for i, j in zip(a[now].tolist(), b[now].tolist(), strict=True):
-                    if label[i] != label[j] and true(i, j):
-                        out.append((i, j))
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
-                a, b, tries = a[~now], b[~now], 4 * tries
+        return [(0, 1)] if label[0] != label[1] and (side is None or side[0] != side[1]) and may_link(*points, *sizes.tolist(), num, den) and true(0, 1) else []
+    for a, b in trees(points, sizes, label, num, den):
+        if side is not None:
+            a, b = a[side[a] != side[b]], b[side[a] != side[b]]
+        tries = 1
+        while True:  # pairs of different components, `tries` of each two components at a time
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                break
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            by = np.lexsort((high, low))
+            a, b, low, high = a[by], b[by], low[by], high[by]
+            first = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+            now = place < tries
+            for i, j in zip(a[now].tolist(), b[now].tolist(), strict=True):
+                if label[i] != label[j] and true(i, j):
+                    out.append((i, j))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+            a, b, tries = a[~now], b[~now], 4 * tries
     return out
 
 
+def with_partners(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(lead, node, bytes) of the documents that have a partner in their group by their sketches. groups: (lead, node, n, bytes, counts, parity), a group in one task."""
+    schema = pa.schema([("lead", pa.int64()), ("node", pa.int64()), ("bytes", pa.int64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], []
+
+        def close() -> None:
+            rows = list({(r[0], r[1], r[3], r[4]): r for r in held}.values())  # a repeated row is one document; an id may have several texts
+            if len({r[0] for r in rows}) > 1:
+                seen = partnered([(np.frombuffer(r[3], np.uint8), np.frombuffer(r[4], np.uint64)) for r in rows], np.array([r[1] for r in rows]), num, den)
+                found.extend((now, r[0], r[2]) for r, s in zip(rows, seen.tolist(), strict=True) if s)
+
+        for b in parts(batches):
+            for lead, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if lead != now:
+                    close()
+                    now, held = lead, []
+                held.append(row)
+            if found:
+                yield batch(schema, list(zip(*found, strict=True)))
+                found.clear()
+        close()
+        if found:
+            yield batch(schema, list(zip(*found, strict=True)))
+
+    return groups.repartition("lead").sortWithinPartitions("lead").mapInArrow(find, "lead long, node long, bytes long")
+
+
 def find_links(cells: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b): true links of each cell, at most one for each of its documents. cells: (lead, low, high, node, own, label, packed), a cell in one task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -292,7 +364,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 
 
 def linked(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int, cell: int) -> DataFrame:
-    """(a, b): true links that join what can be joined. reps: (rep, n, bytes, keys) of documents that stand for their sets."""
+    """(a, b): true links that join what can be joined. reps: (rep, n, bytes, keys, counts, parity) of documents that stand for their sets."""
     roots = reps.where("keys is not null").select(F.col("rep").alias("node"), "n", "bytes", F.explode("keys").alias("key"))
     crowds = materialize(roots.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key"), "crowds")
     # Sizes that can link are in one band or in neighbouring ones, and two such bands are one slot of either kind.
@@ -303,9 +375,13 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int, ce
     near = materialize(near, "near")
     members = materialize(crowded.join(near, ["key", "slot"]).groupBy("lead", "node").agg(F.max("bytes").alias("bytes")), "members")
     release(crowds, crowded, near)
-    groups = members.groupBy("lead").agg((F.sum(F.col("bytes") + EXTRA) / cell).alias("cells"))
-    groups = materialize(groups.select("lead", F.greatest(F.lit(1), F.ceil("cells")).alias("blocks")).where("blocks > 1"), "large")
-    members = members.join(groups, "lead", "left").select("lead", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    weighed = members.groupBy("lead").agg((F.sum(F.col("bytes") + EXTRA) / cell).alias("cells"))
+    groups = materialize(weighed.select("lead", F.greatest(F.lit(1), F.ceil("cells")).alias("blocks")).where("blocks > 1"), "large")
+    small = members.join(groups, "lead", "left_anti").join(reps.where("keys is not null").select(F.col("rep").alias("node"), "n", "counts", "parity"), "node")
+    small = with_partners(small.select("lead", "node", "n", "bytes", "counts", "parity"), num, den)
+    chosen = materialize(small.select("lead", "node", F.lit(1).cast("long").alias("blocks")).unionByName(members.join(groups, "lead").select("lead", "node", "blocks")), "chosen")
+    release(members)
+    members = chosen
     members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     packed = packed_texts(texts)
     cells = members.join(packed, "node").select("lead", F.col("own").alias("low"), F.col("own").alias("high"), "node", "own", F.col("node").alias("label"), "packed")
@@ -331,7 +407,7 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, num: int, den: int, ce
             release(labelled, two)
             reach *= 2
         release(large, held)
-    release(groups, members)
+    release(groups, chosen)
     return links
 
 
@@ -358,7 +434,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = found.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     twins = materialize(twins, "twins")  # a table of its own, so that a set which very many documents have is a skewed join that Spark can split
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("owner", "doc_id"))
-    reps = materialize(found.join(twins, name, "left").select("doc_id", "n", rep.alias("rep"), "bytes", F.when(rep == F.col("doc_id"), F.col("keys")).alias("keys")), "reps")
+    reps = materialize(found.join(twins, name, "left").select("doc_id", "n", rep.alias("rep"), "bytes", *(F.when(rep == F.col("doc_id"), F.col(c)).alias(c) for c in ("keys", "counts", "parity"))), "reps")
     release(found, twins)
     links = linked(reps, texts, width, num, den, cell)
 
