@@ -1,8 +1,12 @@
 """Tokenising by the tokenizers library with a bounded cache of white-space-delimited chunks.
 
 Both public BPE files cut a text into pieces before they merge, and a cut always lies where white
-space begins after another character. So a text may be encoded chunk by chunk; most chunks repeat
-and are looked up. A file whose pre-tokeniser isn't one of the two known kinds is encoded whole.
+space begins after another character, and where punctuation follows a letter. So a text may be encoded
+chunk by chunk; most chunks repeat and are looked up. A file whose pre-tokeniser isn't one of the two
+known kinds is encoded whole.
+
+The second kind of cut is made after ASCII letters and the letters from U+00C0 to U+00FF only: a normaliser
+may split others into a letter and a mark, and a mark goes with the punctuation.
 """
 
 from __future__ import annotations
@@ -18,13 +22,18 @@ import pyarrow as pa
 #: The code points that Unicode calls white space, as the tokenisers' \s has them.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LEADING = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: A word with punctuation after it; the cut between them is one of the pieces' cuts in both kinds of file.
-TAILED = re.compile("( ?[^\\W\\d_]+)([.,;:!?*$%&#|]+)")
 STEM = re.compile(" ?[^\\W\\d_]+")
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 900_000
 #: ASCII white space, and the beginnings of what else is white space, in UTF-8.
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Punctuation that begins a chunk after a letter, ASCII letters, and the second bytes of the letters from U+00C0 to U+00FF.
+PUNCTUATION, LETTER, LATIN = (np.zeros(256, bool) for _ in range(3))
+PUNCTUATION[list(b".,;:!?*$%&#")] = True
+LETTER[65:91] = LETTER[97:123] = True
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False  # the signs of multiplication and division
+TAILED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,;:!?*$%&#]")
 RARE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 RARE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Words joined into one text for the library, whose cost by call is high.
@@ -33,20 +42,26 @@ JOINED = 64
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def distinct_chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_chunks(texts: list[str], tails: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(chunks, index, counts): the distinct chunks of texts, which of them come one after another, and how many in each text.
 
-    Where white space is ASCII, chunks are cut and told apart in arrays; texts with other white space go by LEADING.
+    Where white space is ASCII, chunks are cut and told apart in arrays; texts with other white space go
+    by LEADING. tails: whether punctuation after a letter is a chunk of its own.
     """
     raw = [t.encode() for t in texts]
     slow = [i for i, (t, r) in enumerate(zip(texts, raw, strict=True)) if not t.isascii() and any(x in r for x in RARE) and RARE_SPACE.search(t)]
     odd = dict.fromkeys(slow)
     data = b"".join(b"" if i in odd else r for i, r in enumerate(raw))
     sizes = np.fromiter((0 if i in odd else len(r) for i, r in enumerate(raw)), np.int64, len(raw))
-    gap = GAP[np.frombuffer(data, np.uint8)]
+    codes = np.frombuffer(data, np.uint8)
+    gap = GAP[codes]
     ends = np.cumsum(sizes)
     first = np.zeros(len(gap), bool)
     first[1:] = gap[1:] & ~gap[:-1]
+    if tails:
+        letter = LETTER[codes]
+        letter[1:] |= (codes[:-1] == 0xC3) & LATIN[codes[1:]]
+        first[1:] |= PUNCTUATION[codes[1:]] & letter[:-1]
     first[(ends - sizes)[sizes > 0]] = True
     starts = np.flatnonzero(first)
     places = np.append(starts, len(data)).astype(np.int32)
@@ -80,6 +95,8 @@ class ChunkEncoder:
             self.lead = True
         elif pre.get("type") == "Sequence" and norm and {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in norm.get("normalizers", []) and any(p.get("behavior") == "Removed" and "[^\\s" in (p.get("pattern") or {}).get("Regex", "") for p in pre["pretokenizers"]):
             self.lead = False
+        #: No special string has a cut inside.
+        self.tails = not any(TAILED.search(t["content"]) for t in spec.get("added_tokens", []))
         if any(re.search(f"[{SPACE}]", t["content"]) or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
             self.lead = None
         self.marks: np.ndarray | None = None
@@ -142,35 +159,19 @@ class ChunkEncoder:
         return self.flat[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def _add(self, chunks: list[str]) -> None:
-        """Puts new chunks into the table; a word with punctuation is put together from its word and its tail."""
-        tailed, plain = TAILED.fullmatch, STEM.fullmatch
-        words = [c for c in chunks if plain(c)]
-        known, cut = set(words), {}
-        rest = set()
-        for c in set(chunks).difference(known):
-            if m := tailed(c):
-                cut[c] = m.groups()
-            else:
-                rest.add(c)
-        parts = set(chain.from_iterable(cut.values())).difference(self.table)
-        known.update(p for p in parts if p[-1].isalpha())
-        rest.update(p for p in parts if not p[-1].isalpha())
-        words = [c for c in known if not self.lead or c[0] == " "]
-        rest.update(known.difference(words))
+        """Puts new chunks into the table."""
+        words = [c for c in chunks if STEM.fullmatch(c) and (not self.lead or c[0] == " ")]
         self._put(words, self._words(words))
-        rest = list(rest)
+        rest = list(set(chunks).difference(words))
         for at in range(0, len(rest), 20_000):
             self._put(rest[at : at + 20_000], self._encode(rest[at : at + 20_000]))
-        if cut:
-            pairs = np.fromiter(map(self.table.__getitem__, chain.from_iterable(cut.values())), np.int64, 2 * len(cut))
-            self._place(list(cut), self.lengths[pairs].reshape(-1, 2).sum(1), self._gather(pairs)[0])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more offset than texts)."""
         if self.lead is None:
             ids = self._encode(texts)
             return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([0, *map(len, ids)])
-        chunks, where, counts = distinct_chunks(texts)
+        chunks, where, counts = distinct_chunks(texts, self.tails)
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
         if new := [c for c in chunks if c not in self.table]:

@@ -123,6 +123,12 @@ def release_since(at: int) -> None:
     del _left[at:]
 
 
+def owned(table: DataFrame) -> DataFrame:
+    """A materialized table that release_since() leaves alone; release() deletes it."""
+    _left[:] = [x for x in _left if x[1] != table._scratch]
+    return table
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}

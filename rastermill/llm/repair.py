@@ -4,7 +4,7 @@ A shard is a run of documents in ascending doc_id order, at most SHARD_IDS ids u
 alone is longer. Re-Pair replaces frequent pairs of ids by nonterminals, again and again; each round
 takes the most frequent pairs that cannot overlap one another, so that a round is a few array
 operations. Pairs never contain a document's end id, so every document starts at a symbol of its
-own. Rules and the lengths to which they expand are stored: a document, or a range of its ids, is
+own. Rounds go on until no pair is frequent. Rules and the lengths to which they expand are stored: a document, or a range of its ids, is
 decoded without the rest.
 
 The files are Parquet, one row a shard, written and read by Spark: any store works, and a lost
@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import batch, id_and_text, parts, prepare, slices
+from .common import batch, id_and_text, parts, prepare, slices, write
 
 SHARD_IDS = 1 << 20
 END_ID = 2
-ROUNDS = 8
 #: Rules taken in a round, and how often a pair must occur to be worth a rule.
 ROUND_RULES = 4096
 LEAST = 4
@@ -37,67 +36,103 @@ BITS = 18
 SHARDS = "part long, shard long, base long, n_ids long, first_symbol long, doc_ids binary, doc_nulls binary, doc_at binary, symbols binary, rules binary, expansions binary"
 
 
-#: Odd multipliers, one a round in turn, so that pairs which share a slot once seldom do again.
-MIXERS = tuple(0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F * k for k in range(ROUNDS))
+def mixer(k: int) -> np.uint64:
+    """An odd multiplier for each round, so that pairs which share a slot once seldom do again."""
+    return np.uint64((0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * k) & ((1 << 64) - 1))
 
 
-def frequent_pairs(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left * 2^32 + right) that occur LEAST times or more, most frequent first, and their slots.
+def counted_pairs(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stands, counts, slot): the pair (left * 2^32 + right) that stands for each slot, how often it occurs, and each key's slot.
 
-    One pair stands for each slot and is counted exactly; a pair hidden behind another waits for the
-    next round, which deals the slots anew.
+    A pair hidden behind another waits for the next round, which deals the slots anew.
     """
-    stands = np.full(1 << BITS, -1, np.int64)
+    bits = min(BITS, max(8, len(key).bit_length() + 1))
+    slot = ((key.view(np.uint64) * mixer(k)) >> np.uint64(64 - bits)).view(np.int64)
+    stands = np.full(1 << bits, -1, np.int64)
     stands[slot] = key
-    counts = np.bincount(slot[stands[slot] == key], minlength=1 << BITS)
+    return stands, np.bincount(slot[stands[slot] == key], minlength=1 << bits), slot
+
+
+def disjoint_rules(stands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, slots) of the most frequent pairs of which none ends in a symbol with which another begins."""
     top = np.flatnonzero(counts >= LEAST)
     if len(top) > 2 * ROUND_RULES:
         top = top[np.argpartition(-counts[top], 2 * ROUND_RULES)[: 2 * ROUND_RULES]]
     top = top[np.argsort(-counts[top], kind="stable")]
-    return stands[top], top
+    left, right, pairs, slots = set(), set(), [], []
+    for p, s in zip(stands[top].tolist(), top.tolist(), strict=True):
+        x, y = p >> 32, p & 0xFFFFFFFF
+        if x in right or y in left or (x == y and x in left):
+            continue
+        left.add(x)
+        right.add(y)
+        pairs.append(p)
+        slots.append(s)
+        if len(pairs) == ROUND_RULES:
+            break
+    return np.array(pairs, np.int64), np.array(slots, np.int64)
 
 
 def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule i is the pair that nonterminal first_symbol + i stands for."""
-    rules: list[tuple[int, int]] = []
-    seq = seq.astype(np.int32)
-    for mixer in MIXERS:
-        if len(seq) < 2:
-            break
-        mark = seq != end_id
-        inner = np.flatnonzero(mark[:-1] & mark[1:])
-        key = ((seq[:-1].astype(np.int64) << 32) | seq[1:])[inner]
-        slot = ((key.view(np.uint64) * np.uint64(mixer)) >> np.uint64(64 - BITS)).view(np.int64)
-        pairs, slots = frequent_pairs(key, slot)
-        left, right, taken, rule_of = set(), set(), [], np.full(1 << BITS, -1, np.int32)
-        for p, s in zip(pairs.tolist(), slots.tolist(), strict=True):
-            x, y = p >> 32, p & 0xFFFFFFFF
-            if x in right or y in left or (x == y and x in left):
-                continue
-            left.add(x)
-            right.add(y)
-            rule_of[s] = len(taken)
-            taken.append(p)
-            if len(taken) == ROUND_RULES:
-                break
-        if not taken:
-            break
-        rule = rule_of[slot]
+    """(symbols, rules): rule i is the pair that nonterminal first_symbol + i stands for.
+
+    Rounds go on until no pair occurs LEAST times. Only open places are looked at: those whose pair
+    may still occur so often. A pair that was counted and is too rare can't become frequent again,
+    as replacements only take places from it; new pairs arise at the places of new symbols.
+    """
+    rules: list[np.ndarray] = [np.zeros(0, np.int64)]
+    n_rules = 0
+    seq = seq.astype(np.int64)
+    after, before = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1)  # neighbours of places that are left
+    open_ = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
+    gone = np.zeros(len(seq) + 1, bool)
+    k = 0
+    while len(open_):
+        follows = after[open_]
+        first, second = seq[open_], seq[follows]
+        key = (first << 32) | second
+        stands, counts, slot = counted_pairs(key, k)
+        k += 1
+        exact = stands[slot] == key
+        often = ~exact | (counts[slot] >= LEAST)
+        pairs, slots = disjoint_rules(stands, counts)
+        if not len(pairs):
+            open_ = open_[~exact]
+            continue
+        rule_of = np.full(len(stands), -1, np.int64)
+        rule_of[slots] = np.arange(len(pairs))
+        rule = np.where(exact, rule_of[slot], -1)
         hit = rule >= 0
-        hit[hit] = np.array(taken)[rule[hit]] == key[hit]
-        pos, rule = inner[hit], rule[hit]
-        if (same := seq[pos] == seq[pos + 1]).any():  # in a run every other pair counts
-            run = pos[same]
-            start = np.concatenate(([True], np.diff(run) != 1))
-            odd = (run - run[np.maximum.accumulate(np.where(start, np.arange(len(run)), 0))]) % 2 == 1
-            same[same] = odd
-            pos, rule = pos[~same], rule[~same]
-        seq[pos] = first_symbol + len(rules) + rule
-        keep = np.ones(len(seq), bool)
-        keep[pos + 1] = False
-        seq = seq[keep]
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in taken]
-    return seq.astype(np.int64), np.array(rules, np.int64).reshape(-1, 2)
+        twin = hit & (first == second)
+        if twin.any():  # in a run every other pair counts
+            run = np.flatnonzero(twin)
+            start = np.concatenate(([True], follows[run[:-1]] != open_[run[1:]]))
+            odd = (np.arange(len(run)) - np.maximum.accumulate(np.where(start, np.arange(len(run)), 0))) % 2 == 1
+            hit[run[odd]] = False
+        at, dropped = open_[hit], follows[hit]
+        seq[at] = first_symbol + n_rules + rule[hit]
+        gone[dropped] = True
+        beyond = after[dropped]
+        after[at] = beyond
+        inside = beyond < len(seq)
+        before[beyond[inside]] = at[inside]
+        changed = np.concatenate((at, before[at]))
+        stay = np.zeros(len(seq) + 1, bool)  # one more, for the place before the first
+        stay[open_[often]] = True
+        stay[changed] = True
+        stay[-1] = False
+        open_ = np.flatnonzero(stay[:-1] & ~gone[:-1])
+        open_ = open_[after[open_] < len(seq)]
+        open_ = open_[(seq[open_] != end_id) & (seq[after[open_]] != end_id)]
+        rules.append(pairs)
+        n_rules += len(pairs)
+        if 2 * len(open_) > np.count_nonzero(~gone[:-1]) or k == 8:  # while most is open, close the gaps
+            left = np.flatnonzero(~gone[:-1])
+            place = np.cumsum(~gone[:-1]) - 1
+            seq, open_ = seq[left], place[open_]
+            after, before, gone = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1), np.zeros(len(seq) + 1, bool)
+    every = np.concatenate(rules)
+    return seq[~gone[:-1]], np.stack((every >> 32, every & 0xFFFFFFFF), 1)
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -182,7 +217,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
     """Encodes every text, ends each document with end_id and writes the shards to path in ascending doc_id order.
 
     A null or empty text is the end id alone; null ids come first; rows with equal ids follow in the
-    order of their texts. An empty table writes no shards.
+    order of their texts' hashes, so that they too are dealt over tasks. An empty table writes no shards.
     """
     schema = pa.schema([(n, pa.int64()) for n in ("part", "shard", "base", "n_ids", "first_symbol")] + [(n, pa.binary()) for n in ("doc_ids", "doc_nulls", "doc_at", "symbols", "rules", "expansions")])
 
@@ -202,7 +237,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
         size = 0
         for b in parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 22):
                 flat, bounds = encoder.encode(texts[lo:hi])
                 for k in range(hi - lo):
                     own = np.append(flat[bounds[k] : bounds[k + 1]], np.int32(end_id))
@@ -216,8 +251,9 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int = END_I
             yield flush()
 
     prepare(df.sparkSession)
-    ordered = id_and_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
+    rows = id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    write(ordered.select("doc_id", "text").mapInArrow(encode, SHARDS), path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -225,7 +261,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in parts(batches, 1):  # rows are whole shards
             for row in b.to_pylist():
                 shard, at, rows = Shard(row), row["base"], []
                 for doc, ids in zip(shard.doc_ids, shard.documents(), strict=True):
@@ -235,7 +271,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                 yield batch(schema, list(zip(*rows, strict=True)))
 
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole shards
     stored = spark.read.schema(SHARDS).parquet(path)
     # One row for each part: as many as the range partitioning had partitions, a setting that doesn't grow with the rows.
     totals = sorted(stored.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
