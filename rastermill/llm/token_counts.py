@@ -16,15 +16,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunks import ChunkEncoder, distinct_chunks
 from .common import batch, id_and_text, parts, prepare, slices
 
-#: Fixed value: how byte-level BPE of this kind cuts a text into pieces.
-PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: White space, and the contractions of three characters that are pieces of their own.
+BLANKS = {*map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))}
+CONTRACTED = {"'ll", "'ve", "'re"}
 #: A word of Latin letters, with or without a space before and punctuation after; here the pieces are the same for every version of Unicode.
 SIMPLE = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?*$%&#|]*)")
 LIMIT = 512
@@ -59,6 +59,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.follows: dict[int, bool] = {}
         self.encoder = ChunkEncoder(path)
+        added = sorted((t.content for t in self.encoder.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.clear()
 
     @classmethod
@@ -123,22 +125,45 @@ class PrefixCounter:
         ends = np.cumsum([len(c.encode()) for c in piece])
         return [counts[e] for e in ends]
 
+    def stretch(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text without special strings, in one pass over its pieces.
+
+        A prefix that ends within a piece has the pieces before it and its own part of that piece, which
+        is one piece too; but white space at a prefix's end is one piece however it is cut in the
+        whole text, and a contraction of three characters is none before its last.
+        """
+        out: list[int] = []
+        base = 0  # tokens of the pieces before this one
+        blank: list[int] = []  # prefix counts of the run of white space that we are in
+        run = blank_at = blank_base = 0
+        for _, (lo, hi) in self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            own = text[lo:hi]
+            if lo >= run and own[0] in BLANKS:
+                run = lo
+                while run < len(text) and text[run] in BLANKS:
+                    run += 1
+                blank, blank_at, blank_base = self.chars(text[lo:run]), lo, base
+            counts = self.chars(own)
+            shown = [base + c for c in counts]
+            if own in CONTRACTED:
+                shown[1] = base + counts[0] + self.chars(own[1])[0]
+            for k in range(min(len(own), run - lo) if lo < run else 0):
+                shown[k] = blank_base + blank[lo - blank_at + k]
+            out += shown
+            base += counts[-1]
+        return out
+
     def chunk(self, chunk: str, whole: int) -> list[int]:
         """Tokens of each prefix of a chunk. whole: the library's count, which the last must equal; else the library counts each prefix."""
         out: list[int] = []
-        if "'" not in chunk and not chunk[1:2].isspace():
-            for p in PIECE.findall(chunk):
-                base = out[-1] if out else 0
-                out += [base + c for c in self.chars(p)]
-        else:  # a shorter prefix may be cut otherwise
-            known: dict[str, int] = {}
-            for k in range(1, len(chunk) + 1):
-                total = 0
-                for p in PIECE.findall(chunk[:k]):
-                    if p not in known:
-                        known[p] = self.piece(p.encode())[-1]
-                    total += known[p]
-                out.append(total)
+        at = base = 0
+        for m in self.special.finditer(chunk) if self.special else ():
+            before = self.stretch(chunk[at : m.end() - 1])
+            out += [base + c for c in before]
+            base += (before[m.start() - at - 1] if m.start() > at else 0) + 1
+            out.append(base)
+            at = m.end()
+        out += [base + c for c in self.stretch(chunk[at:])]
         if len(out) != len(chunk) or out[-1] != whole:
             out = [len(x) for x in self.encoder._encode([chunk[:k] for k in range(1, len(chunk) + 1)])]
         return out
@@ -195,7 +220,7 @@ class PrefixCounter:
         """For each text the token counts of its prefixes of 1, 2, ... characters."""
         if not texts:
             return []
-        chunks, where, per = distinct_chunks(texts)
+        chunks, where, per = distinct_chunks(texts, self.encoder.tails)
         if len(self.table) > CACHE_CHUNKS:
             self.clear()
         if new := [c for c in chunks if c not in self.table]:
@@ -232,7 +257,7 @@ def prefix_token_counts(df: DataFrame, tokenizer_path: str, budget: int = LIMIT,
         counter = PrefixCounter.of(tokenizer_path)
         for b in parts(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 22):
                 found = counter.prefixes(texts[lo:hi])
                 yield batch(schema, [ids[lo:hi], [len(t.encode()) for t in texts[lo:hi]], [int(c[-1]) if len(c) else 0 for c in found], [fitting(c, budget) for c in found], [c.astype("<i4").tobytes() if keep else None for c in found]])
 
