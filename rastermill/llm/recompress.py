@@ -13,7 +13,8 @@ they occur: so a window can repeat only where its anchor's name occurs in anothe
 in a row with one anchor form a segment. Spark counts the anchors' documents; only segments with a
 shared anchor go on. A segment whose whole content also occurs in a smaller document is covered;
 windows of the others, at the edges of passages, are compared one by one, where two documents still
-share an anchor. All comparisons are of 128-bit names of the words themselves.
+share an anchor. Windows are compared by two independent 64-bit hashes of the words themselves,
+segments by one and their anchor.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, parts, prepare, slices
-from .words import ALL, BASE, mixed, powers, rolling, words
+from .common import batch, materialize, parts, prepare, release, slices
+from .words import ALL, BASE, OTHER_VALUES, mixed, powers, rolling, words
 
 WIDTH = 50
 ROUNDS = 12
 OTHER_BASE = 0xC2B2AE3D27D4EB4F | 1
 FAR = 1 << 40
-#: Characters hashed at once.
-SLICE = 1 << 20
+#: Bytes of text hashed at once, and words for which symbols are named at once; a longer text is taken in pieces that overlap by a window.
+SLICE, PIECE = 1 << 20, 1 << 17
 
 SEGMENTS = "row long, doc_id long, key long, content long, start int, count int"
 CLEANED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -123,6 +124,21 @@ def segments(names: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple
     return doc[start], start - bounds[doc[start]], count, key[first], content
 
 
+def pieces(bounds: np.ndarray, width: int, most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Lists of (document, from, to) of about `most` words together; each window of a document lies in exactly one piece."""
+    now, size = [], 0
+    for d, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        for at in range(lo, max(lo + 1, hi - width + 1), most):
+            stop = min(hi, at + most + width - 1)
+            if now and size + stop - at > most + width:
+                yield now
+                now, size = [], 0
+            now.append((d, at, stop))
+            size += stop - at
+    if now:
+        yield now
+
+
 def find_segments(texts: DataFrame, width: int) -> DataFrame:
     """SEGMENTS of rows (doc_id, text, row)."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
@@ -131,28 +147,41 @@ def find_segments(texts: DataFrame, width: int) -> DataFrame:
         for b in parts(batches):
             ids, texts_, rows = (b.column(i).to_pylist() for i in range(3))
             for lo, hi in slices(texts_, SLICE):
-                names, bounds = words([t.encode("utf-8", "replace") for t in texts_[lo:hi]])
-                doc, start, count, key, content = segments(names, bounds, width)
-                if len(doc):
-                    yield batch(schema, [np.array(rows[lo:hi])[doc], np.array(ids[lo:hi])[doc], key.view(np.int64), content.view(np.int64), start.astype(np.int32), count.astype(np.int32)])
+                names, bounds = words(texts_[lo:hi])
+                rows_, ids_ = np.array(rows[lo:hi]), np.array(ids[lo:hi])
+                for some in pieces(bounds, width, PIECE):
+                    which, begin = np.array([p[0] for p in some]), np.array([p[1] for p in some])
+                    own = np.concatenate([names[x:y] for _, x, y in some])
+                    piece, start, count, key, content = segments(own, np.cumsum([0, *(y - x for _, x, y in some)]), width)
+                    if len(piece):
+                        doc = which[piece]
+                        start = start + begin[piece] - bounds[doc]
+                        yield batch(schema, [rows_[doc], ids_[doc], key.view(np.int64), content.view(np.int64), start.astype(np.int32), count.astype(np.int32)])
 
-    return texts.where("doc_id is not null").mapInArrow(find, SEGMENTS)
+    return texts.where("doc_id is not null").select("doc_id", F.col("text").cast("binary"), "row").mapInArrow(find, SEGMENTS)
 
 
 def window_names(owned: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, key, one, two, start) of each window of rows (row, doc_id, text, spans): spans are (key, start, count)."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32())])
+    """(row, doc_id, one, two, start) of each window of rows (row, doc_id, text, spans): spans are (start, count)."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("start", pa.int32())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in parts(batches, 64):
             for row, doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                names = words([text.encode("utf-8", "replace")])[0]
-                one, two = (rolling(names, width, base).view(np.int64) for base in (BASE, OTHER_BASE))
-                key = np.concatenate([np.full(s["count"], s["key"], np.int64) for s in spans])
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in spans])
-                yield batch(schema, [np.full(len(at), row), np.full(len(at), doc), key, one[at], two[at], at.astype(np.int32)])
-
-    return owned.mapInArrow(name, "row long, doc_id long, key long, one long, two long, start int")
+                hashes = words([text])[0], words([text], values=OTHER_VALUES)[0]
+                first = np.array([s["start"] for s in spans])
+                last = first + np.array([s["count"] for s in spans])  # the window after the last
+                order = np.argsort(first, kind="stable")
+                first, last = first[order], np.maximum.accumulate(last[order])
+                new = np.concatenate(([True], first[1:] > last[:-1]))  # spans that touch are one stretch of windows
+                begin, stop = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)]
+                for x, y in zip(begin.tolist(), stop.tolist(), strict=True):
+                    for at in range(x, y, PIECE):
+                        end = min(y, at + PIECE)
+                        one, two = (rolling(h[at : end + width - 1], width, base).view(np.int64) for h, base in zip(hashes, (BASE, OTHER_BASE), strict=True))
+                        yield batch(schema, [np.full(end - at, row), np.full(end - at, doc), one, two, np.arange(at, end, dtype=np.int32)])
+
+    return owned.select("row", "doc_id", F.col("text").cast("binary"), "spans").mapInArrow(name, "row long, doc_id long, one long, two long, start int")
 
 
 def clean(texts: DataFrame, width: int) -> DataFrame:
@@ -184,8 +213,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """CLEANED, and the columns of `keep`, of each row: words under a window of `width` words that also starts in a document with a smaller id are removed.
 
     kept is the text itself where nothing is removed, else the kept words joined by one space. A
-    null text has no words. Rows with equal ids are one document: none is the smaller. A row
-    without an id is kept whole and is no source for others.
+    null text has no words, nor has an empty one. Rows with equal ids are one document: none is the smaller. A row
+    without an id is kept whole and is no source for others. An empty table gives no rows.
     """
     spark = prepare(df.sparkSession)
     carried = F.struct(F.lit(0).alias("_"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep)))
@@ -193,25 +222,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = own.withColumn("row", F.xxhash64("doc_id", "text"))
     texts = full.select("doc_id", "text", "row")
     found = materialize(find_segments(texts, width), "segments")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    candidates = materialize(found.join(shared, "key", "left_semi"), "shared")
-    least = candidates.groupBy("key", "content").agg(F.min("doc_id").alias("least"))
+    # What is grouped by a key is written before it is joined: a key of very many rows is then a skewed join, which Spark splits.
+    shared = materialize(found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "shared")
+    candidates = materialize(found.join(shared, "key", "left_semi"), "candidates")
+    release(found, shared)
+    least = materialize(candidates.groupBy("key", "content").agg(F.min("doc_id").alias("least")), "least")
     judged = candidates.join(least, ["key", "content"]).withColumn("covered", F.col("least") < F.col("doc_id"))
     judged = materialize(judged.select("row", "doc_id", "key", "start", "count", "covered"), "judged")
+    release(candidates, least)
     edges = judged.where("not covered").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key", F.lit(True).alias("edge"))
-    judged = judged.join(edges, "key", "left")
-    spans = judged.where(F.col("covered") | F.col("edge")).groupBy("row", "doc_id").agg(F.collect_set(F.struct("key", "start", "count", "covered")).alias("spans"))
-
-    t, s = full.alias("t"), spans.alias("s")
-    marked = t.join(s, (F.col("t.row") == F.col("s.row")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select("t.row", "t.doc_id", "t.text", "s.spans", "t.extra")
-    marked = materialize(marked, "marked")
-    loose = marked.where(F.exists("spans", lambda x: ~x["covered"])).select("row", "doc_id", "text", F.filter("spans", lambda x: ~x["covered"]).alias("spans"))
-    windows = materialize(window_names(loose.dropDuplicates(["row", "doc_id"]), width), "windows")
-    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    late = windows.join(firsts, ["one", "two"]).where("least < doc_id").groupBy("row", "doc_id").agg(F.collect_set(F.struct(F.col("start"), F.lit(1).alias("count"))).alias("late"))
-    m, x = marked.alias("m"), late.alias("x")
-    every = m.join(x, (F.col("m.row") == F.col("x.row")) & (F.col("m.doc_id") == F.col("x.doc_id")), "left")
-    certain = F.transform(F.filter("m.spans", lambda y: y["covered"]), lambda y: F.struct(y["start"].alias("start"), y["count"].alias("count")))
-    none = F.array().cast("array<struct<start:int,count:int>>")
-    ready = every.select("m.doc_id", "m.text", F.concat(F.coalesce(certain, none), F.coalesce("x.late", none)).alias("spans"), "m.extra")
+    edges = materialize(edges, "edges")
+    spans = judged.join(edges, "key", "left").where(F.col("covered") | F.col("edge")).groupBy("row", "doc_id").agg(F.collect_set(F.struct("start", "count", "covered")).alias("spans"))
+    spans = materialize(spans, "spans")
+    release(judged, edges)
+
+    loose = spans.select("row", "doc_id", F.filter("spans", lambda x: ~x["covered"]).alias("spans")).where(F.size("spans") > 0)
+    t, s = texts.alias("t"), loose.alias("s")
+    owned = t.join(s, (F.col("t.row") == F.col("s.row")) & (F.col("t.doc_id") == F.col("s.doc_id"))).select("t.row", "t.doc_id", "t.text", "s.spans")
+    windows = materialize(window_names(owned.dropDuplicates(["row", "doc_id"]), width), "windows")
+    firsts = materialize(windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "firsts")
+    late = windows.join(firsts, ["one", "two"]).where("least < doc_id").select("row", "doc_id", F.struct(F.col("start"), F.lit(1).alias("count")).alias("span"))
+    certain = spans.select("row", "doc_id", F.explode("spans").alias("s")).where("s.covered").select("row", "doc_id", F.struct("s.start", "s.count").alias("span"))
+    gone = materialize(certain.unionByName(late).groupBy("row", "doc_id").agg(F.collect_set("span").alias("spans")), "gone")
+    release(spans, windows, firsts)
+    t, g = full.alias("t"), gone.alias("g")
+    ready = t.join(g, (F.col("t.row") == F.col("g.row")) & F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("t.doc_id", "t.text", "g.spans", "t.extra")
     return clean(ready, width).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(F.col(f"extra.k{i}").alias(c) for i, c in enumerate(keep)))

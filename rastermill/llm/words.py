@@ -12,6 +12,8 @@ import numpy as np
 
 #: Random values for the 256 byte values and the polynomial's base, from a seeded generator.
 VALUES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Others, for a second hash that doesn't depend on the first.
+OTHER_VALUES = np.random.Generator(np.random.PCG64(12)).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 GAP = np.zeros(256, bool)
@@ -48,7 +50,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def sums(data: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sums(data: np.ndarray, fold_case: bool, values: np.ndarray = VALUES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(polynomials, starts, ends) of the words in a stretch of bytes; a polynomial isn't mixed yet."""
     if fold_case:
         data = FOLD[data]
@@ -56,16 +58,16 @@ def sums(data: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray, np.
     inside[1:-1] = ~GAP[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    running = np.concatenate(([np.uint64(0)], np.cumsum(VALUES[data] * powers(BASE, len(data)), dtype=np.uint64)))
+    running = np.concatenate(([np.uint64(0)], np.cumsum(values[data] * powers(BASE, len(data)), dtype=np.uint64)))
     return (running[ends] - running[starts]) * powers(INVERSE, len(data) + 1)[starts], starts, ends
 
 
-def long_text(raw: bytes, fold_case: bool = False, stretch: int = STRETCH) -> np.ndarray:
+def long_text(raw: bytes, fold_case: bool = False, stretch: int = STRETCH, values: np.ndarray = VALUES) -> np.ndarray:
     """The words' hashes of one text of any length, stretch by stretch."""
     out: list[np.ndarray] = []
     begun, size = np.zeros(1, np.uint64), 0  # the word that the last stretch ended in
     for at in range(0, len(raw), stretch):
-        poly, starts, ends = sums(np.frombuffer(raw, np.uint8, min(stretch, len(raw) - at), at), fold_case)
+        poly, starts, ends = sums(np.frombuffer(raw, np.uint8, min(stretch, len(raw) - at), at), fold_case, values)
         n = min(stretch, len(raw) - at)
         length = ends - starts
         if size and len(starts) and starts[0] == 0:
@@ -84,14 +86,14 @@ def long_text(raw: bytes, fold_case: bool = False, stretch: int = STRETCH) -> np
     return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
-def words(raw: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: list[bytes], fold_case: bool = False, values: np.ndarray = VALUES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the words of all texts, and where each text's begin (one more than texts)."""
     found: list[np.ndarray] = []
     counts = np.zeros(len(raw) + 1, np.int64)
     at = 0
     while at < len(raw):
         if len(raw[at]) > STRETCH:
-            found.append(long_text(raw[at], fold_case))
+            found.append(long_text(raw[at], fold_case, STRETCH, values))
             counts[at + 1] = len(found[-1])
             at += 1
             continue
@@ -100,7 +102,7 @@ def words(raw: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.nda
             size += len(raw[stop]) + 1
             stop += 1
         some = raw[at:stop]
-        poly, starts, ends = sums(np.frombuffer(b" ".join([*some, b""]), np.uint8), fold_case)
+        poly, starts, ends = sums(np.frombuffer(b" ".join([*some, b""]), np.uint8), fold_case, values)
         places = np.concatenate(([0], np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)))
         counts[at + 1 : stop + 1] = np.diff(np.searchsorted(starts, places))
         found.append(mixed(poly + (ends - starts).astype(np.uint64)))
