@@ -1,16 +1,20 @@
 """Near-duplicate embeddings: random-hyperplane sign hashing in several tables, exact cosines, components.
 
-Vectors with equal labels whose sign patterns agree in a table share a bucket. The bits of a
+Equal vectors of one label are one point with a weight. Points with equal labels whose sign patterns agree in a table share a bucket. The bits of a
 pattern grow with the logarithm of the number of vectors, and the number of tables follows from
 RECALL, the chance that a pair right at the threshold meets in some table. Buckets with one vector
 end there, before any vector is moved. In the others cosines are computed in double precision by
 blocks; a pair counts only in the first table in which it meets. A block returns one row a vector,
 its new links and the least vector that it is tied to, never the pairs themselves. A bucket of
-more than BLOCK vectors is dealt into blocks, and each two blocks are compared in a task of their own.
+more than BLOCK vectors is dealt into blocks, and each two blocks are compared in a task of their own:
+links have to be counted, so every pair that may link is looked at once, wherever it is.
+
+At production parameters the recall of pairs between 0.93 and 0.94 is 0.995 or more in the tests.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, parts, prepare
+from .common import batch, materialize, parts, prepare, release
 from .components import components
 
 THRESHOLD = 0.93
@@ -49,8 +53,8 @@ def unit(values: list | None) -> np.ndarray | None:
 
 
 def signed(df: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
-    """(vec_id, label, dim, vector, patterns) of the vectors that may link; patterns: an int32 for each table."""
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary()), ("patterns", pa.binary())])
+    """(vec_id, label, dim, vector, patterns, name) of the vectors that may link; patterns: an int32 for each table; name: a digest of label and vector."""
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vector", pa.binary()), ("patterns", pa.binary()), ("name", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -63,11 +67,12 @@ def signed(df: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame
                 if len(x) not in planes:
                     planes[len(x)] = np.random.Generator(np.random.PCG64([seed, len(x)])).standard_normal((tables * bits, len(x)))
                 signs = (planes[len(x)] @ x >= 0).reshape(tables, bits)
-                rows.append((vec, label, len(x), x.astype("<f8").tobytes(), (signs @ powers).astype("<i4").tobytes()))
+                raw = x.astype("<f8").tobytes()
+                rows.append((vec, label, len(x), raw, (signs @ powers).astype("<i4").tobytes(), hashlib.blake2b(f"{label}\0".encode() + raw, digest_size=16).digest()))
             if rows:
                 yield batch(schema, list(zip(*rows, strict=True)))
 
-    return df.mapInArrow(sign, "vec_id long, label string, dim int, vector binary, patterns binary")
+    return df.mapInArrow(sign, "vec_id long, label string, dim int, vector binary, patterns binary, name binary")
 
 
 def compare(pdf: pd.DataFrame, table: int, cross: bool, threshold: float) -> pd.DataFrame:
@@ -76,7 +81,7 @@ def compare(pdf: pd.DataFrame, table: int, cross: bool, threshold: float) -> pd.
     ids = pdf["vec_id"].to_numpy(np.int64)
     x = np.frombuffer(b"".join(pdf["vector"]), "<f8").reshape(len(ids), -1)
     seen = np.frombuffer(b"".join(pdf["patterns"]), "<i4").reshape(len(ids), -1)[:, :table]
-    side = pdf["side"].to_numpy()
+    side, weight = pdf["side"].to_numpy(), pdf["weight"].to_numpy(np.int64)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
     def find(i: int) -> int:
@@ -96,7 +101,8 @@ def compare(pdf: pd.DataFrame, table: int, cross: bool, threshold: float) -> pd.
             i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             new = ~(seen[i] == seen[j]).any(1)
             i, j = i[new], j[new]
-            links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
             loose = root[i] != root[j]
             for p, q in zip(i[loose].tolist(), j[loose].tolist(), strict=True):
                 p, q = find(p), find(q)
@@ -113,19 +119,26 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     without a label link with nothing, like null, zero and non-finite ones; so does a null id, whose
     component is null and which isn't kept. Vectors of different lengths never link.
     """
-    spark = prepare(df.sparkSession)
+    prepare(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("vec_id"), F.struct(df[label_col].cast("string").alias("label"), df[vector_col].cast("array<double>").alias("vector")).alias("v"))
     one = materialize(rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.label", "v.vector"), "vectors")
     bits, tables = shape(one.count(), threshold, recall)
     vectors = materialize(signed(one.where("vec_id is not null and label is not null"), bits, tables), "signed")
+    # What is grouped by a key is written before it is joined, so that Spark can split the join of a key of very many rows.
+    twins = materialize(vectors.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("weight > 1"), "twins")
+    placed = vectors.join(twins, "name", "left").withColumn("rep", F.coalesce("rep", "vec_id")).withColumn("weight", F.coalesce("weight", F.lit(1)))
+    own = F.col("vec_id") == F.col("rep")
+    placed = materialize(placed.select("vec_id", "rep", "weight", "label", "dim", F.when(own, F.col("vector")).alias("vector"), F.when(own, F.col("patterns")).alias("patterns")), "placed")
+    release(vectors, twins)
+    points = placed.where("vec_id = rep").select("vec_id", "label", "dim", "weight", "vector", "patterns")
 
     def pattern(col: str, t: str) -> str:
         return f"substring({col}, 4 * {t} + 1, 4)"
 
-    dealt = vectors.select("vec_id", "label", "dim", "patterns", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).select("vec_id", "label", "dim", "t", F.expr(pattern("patterns", "t")).alias("pattern"))
+    dealt = points.select("vec_id", "label", "dim", "patterns", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t")).select("vec_id", "label", "dim", "t", F.expr(pattern("patterns", "t")).alias("pattern"))
     bucket = ["label", "dim", "t", "pattern"]
-    full = dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    members = dealt.join(full, bucket).join(vectors.select("vec_id", "vector", "patterns"), "vec_id")
+    full = materialize(dealt.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = dealt.join(full, bucket).join(points.select("vec_id", "weight", "vector", "patterns"), "vec_id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -134,10 +147,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return compare(pdf, int(key[2]), key[4] != key[5], threshold)
 
-    found = members.select(*bucket, "low", "high", "side", "vec_id", "vector", "patterns").groupBy(*bucket, "low", "high").applyInPandas(block, "vec_id long, links long, root long")
+    found = members.select(*bucket, "low", "high", "side", "vec_id", "weight", "vector", "patterns").groupBy(*bucket, "low", "high").applyInPandas(block, "vec_id long, links long, root long")
     found = materialize(found, "links")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "vec_id")
-    out = one.select("vec_id").join(links, "vec_id", "left").join(comp, "vec_id", "left")
+    release(full)
+    links = materialize(found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep"), "counts")
+    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    release(found)
+    reached = placed.select("vec_id", "rep", "weight").join(links, "rep", "left").join(comp, "rep", "left")
+    reached = reached.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = one.select("vec_id").join(reached, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
