@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, id_and_text, materialize, parts, prepare
+from .common import batch, crc_mod, fresh, id_and_text, materialize, parts, prepare
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -168,18 +168,35 @@ def score(measured: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def accept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns kept, whose texts score the threshold or more."""
-    model = fit(materialize(features(df, id_col, text_col), "quality"), labels)
+    """The rows of df, all columns kept, whose texts score the threshold or more.
+
+    Statistics are taken once and written beside the rows. Null texts count as empty, repeated rows
+    are judged alike, a row without an id is judged and learned from by none.
+    """
+    prepare(df.sparkSession)
+    column = fresh(df, "statistics")
+
+    @F.pandas_udf("array<double>")
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts])
+
+    wide = materialize(df.withColumn(column, measure(F.coalesce(df[text_col], F.lit("")))), "quality")
+    measured = wide.select(wide[id_col].cast("long").alias("doc_id"), *(F.col(column)[i].alias(f"f{i}") for i in range(DIMS)))
+    model = fit(measured, labels)
 
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, DIMS)))
+    def rate(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(rows.to_numpy()).reshape(-1, DIMS)) if len(rows) else [], dtype="float64")
 
-    return df.where(rate(F.coalesce(df[text_col], F.lit(""))) >= threshold)
+    return wide.where(rate(column) >= threshold).select(*df.columns)
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null texts count as empty, a null id is held out of nothing (false)."""
+    """(doc_id, held_out, score, predicted) for each row.
+
+    Null texts count as empty, a null id is held out of nothing (false), rows that repeat are scored
+    each, and an empty table gives no rows.
+    """
     measured = materialize(features(df, id_col, text_col), "quality")
     scored = score(measured, fit(measured, labels))
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))

@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-The n-grams are of SIZES bytes of the lower-cased text, read exactly (packed into 64 bits, not
-hashed). On a bounded sample of labelled rows, Spark counts in how many texts of each class an
+The n-grams are of SIZES characters of the lower-cased text, each named by a 64-bit hash of its
+code points. On a bounded sample of labelled rows, Spark counts in how many texts of each class an
 n-gram occurs; the FEATURES with the largest chi-square statistics are kept. A text's feature is
 its n-gram's log-count ratio where the n-gram is present, else 0, and a regularised logistic
 regression weighs them. Scoring looks up every n-gram of the whole text.
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_mod, id_and_text, materialize, parts, prepare
+from .common import batch, crc_mod, id_and_text, materialize, parts, prepare, release
+from .words import distinct
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -27,21 +28,20 @@ SAMPLE_ROWS = 4096
 FEATURES = 2048
 RIDGE = 1.0
 
-FOLD_CASE = np.arange(256, dtype=np.int64)
-FOLD_CASE[65:91] += 32
-FOLD_CASE[[9, 10, 11, 12, 13]] = 32
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+WHITE = str.maketrans("\t\n\v\f\r", "     ")
 
 
 def ngrams(text: str) -> Iterator[np.ndarray]:
-    """For each size the packed n-grams of a text, with a space before and after it; the length is in the top byte."""
-    data = FOLD_CASE[np.frombuffer(b" " + text.encode("utf-8", "replace") + b" ", np.uint8)]
-    key = data
+    """For each size the names of a text's n-grams, with a space before and after it."""
+    codes = np.frombuffer(f" {text.lower().translate(WHITE)} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    key = codes
     for n in range(2, max(SIZES) + 1):
-        if len(data) < n:
+        if len(codes) < n:
             return
-        key = (key[:-1] << 8) | data[n - 1 :]
+        key = key[:-1] * BASE + codes[n - 1 :]
         if n in SIZES:
-            yield key | (n << 56)
+            yield ((key ^ (key >> np.uint64(31))) * SPREAD).view(np.int64)
 
 
 @dataclass
@@ -124,7 +124,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
         for b in parts(batches):
             for y in (0, 1):
                 texts = [t for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if c == y]
-                own = [np.unique(np.concatenate([*ngrams(t), np.zeros(0, np.int64)])) for t in texts]
+                own = [distinct(np.concatenate([*ngrams(t), np.zeros(0, np.int64)])) for t in texts]
                 if own:
                     gram, n = np.unique(np.concatenate(own), return_counts=True)
                     yield batch(counted, [gram, *((n * 0, n) if y else (n, n * 0))])
@@ -149,6 +149,7 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     for i, g in enumerate(got):
         at = np.frombuffer(g[1], "<u2")
         x[i, at] = ratio[at]
+    release(sample)
     share = np.array([totals[c] / rows[c] for c in (0, 1)])
     theta, bias = regress(x, y, (share / share.min())[y])
     return Linear(keys, theta * ratio, bias)
@@ -167,7 +168,11 @@ def score(df: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str =
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null texts count as empty, a null id is not held out."""
+    """(doc_id, held_out, score, predicted) for each row.
+
+    Null texts count as empty, a null id is not held out, rows that repeat are scored each, and an
+    empty table gives no rows. Ties in the sample and the features are broken by hash and name.
+    """
     scored = score(df, fit(df, labels, id_col=id_col, text_col=text_col), id_col, text_col)
     held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
