@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -15,8 +18,13 @@ from rastermill.llm.common import scratch
 from rastermill.llm.queries import tokenizer
 
 
+@cache
+def library(name: str) -> Tokenizer:
+    return Tokenizer.from_file(tokenizer(name))
+
+
 def ids(name: str, text: str | None) -> list[int]:
-    return Tokenizer.from_file(tokenizer(name)).encode(text or "", add_special_tokens=False).ids
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -27,6 +35,43 @@ def test_chunks_equal_whole_texts(name, rows):
         assert flat[bounds[i] : bounds[i + 1]].tolist() == ids(name, t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_before_punctuation(name):
+    """A normaliser may split a letter into a letter and a mark, which goes with the punctuation."""
+    letters = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    texts = [f"a{c}. b{c}*x" for c in letters]
+    encoder = ChunkEncoder(tokenizer(name))
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 50_000):
+        flat, bounds = encoder.encode(texts[at : at + 50_000])
+        for i, own in enumerate(want[at : at + 50_000]):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == own, texts[at + i]
+
+
+ODD = ["don't", "we'll've", "'ll", "''ll'", "a'lle're", "x\n\n  y", "\n\nIt's", "  \t z'", "a<|endoftext|>b'll", "<|endoftext|", "<|endoftext|><|endoftext|>'s", "\u3000\u2003wide", "d\xe9j\xe0'vu.., 12'34", "e\u0301'll", "\x1c'\x1d", "1'000'000.5%", "\U0001f600'll\U0001f600", "   ", "a  <|endoftext|>  b"]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_prefixes_of_odd_chunks(text):
+    counter = token_counts.PrefixCounter(tokenizer("byte_bpe_50k.json"))
+    want = [len(ids("byte_bpe_50k.json", text[: k + 1])) for k in range(len(text))]
+    assert counter.prefixes([text])[0].tolist() == want
+    for chunk in text.split(" "):
+        if chunk:  # the way that takes one pass has to be right by itself, without the library's help
+            assert counter.stretch(chunk.replace("<|endoftext|>", "")) == [len(ids("byte_bpe_50k.json", chunk.replace("<|endoftext|>", "")[: k + 1])) for k in range(len(chunk.replace("<|endoftext|>", "")))]
+
+
+def test_long_chunks_take_linear_time():
+    counter = token_counts.PrefixCounter(tokenizer("byte_bpe_50k.json"))
+    word = "ab'cd" * 40_000
+    counter.encoder.tokenizer.encode(word)
+    began = time.perf_counter()
+    counts = counter.prefixes([word, word + "<|endoftext|>" + word[:999]])
+    assert time.perf_counter() - began < 60
+    assert counts[0][-1] == len(ids("byte_bpe_50k.json", word))
+    assert counts[1][-1] == len(ids("byte_bpe_50k.json", word + "<|endoftext|>" + word[:999]))
+
+
 def test_prefix_counts(spark, docs, rows):
     got = token_counts.prefix_token_counts(docs, tokenizer("byte_bpe_50k.json"), budget=20).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is None, i or 0, len(ids("byte_bpe_50k.json", t))) for i, t, *_ in rows)
@@ -88,7 +133,7 @@ def test_grammar_files(spark, docs, rows, monkeypatch):
     path = scratch(spark, "ids")
     repair.write_ids(docs, path, tokenizer("word_bpe_49k.json"))
     got = repair.read_ids(spark, path).orderBy("start").collect()
-    want = sorted(((i is not None, i or 0, t or "") for i, t, *_ in rows))
+    want = sorted(((i is not None, i or 0, t or "") for i, t, *_ in rows))  # rows with equal ids have equal texts here
     at = 0
     for r, (_, i, t) in zip(got, want, strict=True):
         own = [*ids("word_bpe_49k.json", t), 2]
@@ -110,3 +155,20 @@ def test_grammar_round_trip_and_random_access(seq):
         for b in range(a, len(seq) + 1, 3):
             assert shard.document(0, a, b).tolist() == seq[a:b]
     assert len(row["symbols"]) <= 4 * len(seq)
+
+
+def test_grammar_goes_on_to_the_end():
+    r = np.random.default_rng(4)
+    words = [r.integers(5, 300, r.integers(2, 9)) for _ in range(200)]
+    seq = np.concatenate([np.append(np.concatenate([words[i] for i in r.integers(0, 200, 60)]), 2) for _ in range(150)] + [np.full(777, 9), np.array([2])])
+    symbols, rules = repair.compress(seq, 2, 1000)
+    assert (repair.expand(symbols, rules, 1000) == seq).all()
+    left: dict[tuple, int] = {}
+    before = None
+    for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if 2 not in pair and not (pair[0] == pair[1] and before == (pair, k - 1)):
+            left[pair] = left.get(pair, 0) + 1
+            before = (pair, k)
+    assert max(left.values()) < repair.LEAST
+    assert len(np.unique(rules, axis=0)) == len(rules)
+    assert 2 not in rules
