@@ -36,13 +36,26 @@ def ambiguity(peaks: DataFrame) -> DataFrame:
     return two.withColumn("gap", F.col("best") - F.col("second"))
 
 
+#: Fixed value: how much lower our best position may score in the other map and still be a tie.
+TIE = 2e-3
+
+
 def parity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """The largest difference of two response maps and where it is first: (image_id, template_id, worst, y, x, positions)."""
-    keys = ["image_id", "template_id", "y", "x"]
-    both = ours.join(theirs.withColumnRenamed("score", "other"), keys)
-    worst = F.max(F.struct(F.abs(F.col("score") - F.col("other")).alias("worst"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("m")
-    got = both.groupBy("image_id", "template_id").agg(worst, F.count("*").alias("positions"))
-    return got.select("image_id", "template_id", "m.worst", (-F.col("m.y")).alias("y"), (-F.col("m.x")).alias("x"), "positions")
+    """Two response maps of the same search: the largest difference and where it is first, the peaks' difference, and whether they agree.
+
+    (image_id, template_id, worst, y, x, positions, peak_dv, status): status is "ok" where both have
+    their first greatest score at one place, "tie" where theirs is at most TIE lower at our place, else "mismatch".
+    """
+    both = ours.join(theirs.withColumnRenamed("score", "other"), ["image_id", "template_id", "y", "x"])
+    back = ((-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    worst = F.max(F.struct(F.abs(F.col("score") - F.col("other")).alias("worst"), *back)).alias("m")
+    mine = F.max(F.struct(F.col("score").cast("float").alias("s"), *back, F.col("other"))).alias("a")
+    best = F.max(F.struct(F.col("other").cast("float").alias("s"), *back)).alias("b")
+    got = both.groupBy("image_id", "template_id").agg(worst, mine, best, F.count("*").alias("positions"))
+    same = (F.col("a.y") == F.col("b.y")) & (F.col("a.x") == F.col("b.x"))
+    status = F.when(same, "ok").when(F.col("b.s") - F.col("a.other") <= TIE, "tie").otherwise("mismatch")
+    peak = F.abs(F.col("a.s").cast("double") - F.col("b.s").cast("double"))
+    return got.select("image_id", "template_id", "m.worst", (-F.col("m.y")).alias("y"), (-F.col("m.x")).alias("x"), "positions", peak.alias("peak_dv"), status.alias("status"))
 
 
 def digest(responses: DataFrame) -> DataFrame:

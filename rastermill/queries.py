@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: (template_id, x0, y0, w, h, kind) of the grey and the colour templates.
 GREY = [(0, 10, 100, 8, 8, "crop"), (1, 30, 20, 12, 6, "crop"), (2, 0, 200, 5, 5, "crop"), (3, 0, 0, 4, 4, "flat"), (4, 40, 300, 8, 8, "degraded")]
 COLOUR = [(10, 3, 5, 5, 6, "crop"), (11, 10, 12, 8, 4, "crop"), (12, 0, 0, 3, 3, "flat"), (13, 14, 20, 6, 6, "degraded")]
+#: Larger grey templates: a tall, a wide and a square one.
+LARGE = [(50, 10, 20, 24, 24, "crop"), (51, 2, 40, 60, 9, "degraded"), (52, 30, 30, 9, 60, "crop")]
 #: (rule_id, name, roi, gray, threshold, mode, template_ids) over the colour raster.
 RULES = [
     (1, "first-of-two", None, False, 0.95, rules.FIRST, [13, 10]),
@@ -30,13 +32,18 @@ RULES = [
     (4, "does-not-fit", (0, 0, 4, 4), False, 0.1, rules.ALL, [10, 11]),
     (5, "best-of-all", None, False, 0.2, rules.ALL, [10, 11, 13]),
 ]
-PLANS = [(8, 8, 57, 493), (128, 128, 1793, 953), (300, 200, 1301, 801), (17, 13, 81, 49), (33, 257, 8, 44), (3000, 2000, 1, 1), (24, 24, 1577, 977), (96, 32, 3745, 2129)]
+PLANS = [(8, 8, 57, 493), (128, 128, 1793, 953), (300, 200, 1301, 801), (17, 13, 81, 49), (33, 257, 8, 44), (3000, 2000, 1, 1), (24, 24, 1577, 977), (96, 32, 3745, 2129), (1, 1, 50, 40), (1, 400, 2000, 1), (400, 1, 1, 2000)]
+
+#: (template_id, w, h, flat, channels): the sides of the grey and colour templates, and some that cover others, or don't.
+SIDES = [(i, w, h, k == "flat", c) for c, specs in ((1, GREY), (4, COLOUR)) for i, _, _, w, h, k in specs] + [(30, 300, 8, False, 3), (31, 8, 300, False, 3), (32, 200, 100, False, 3), (33, 24, 24, False, 4), (34, 400, 300, True, 4)]
 
 R_EMB = "emb AS (SELECT vec_id::INT AS y, (i - 1)::INT AS x, 0 AS c, least(255, greatest(0, floor((embedding[i]::DOUBLE + 1) * 127.5)))::BIGINT AS v FROM embeddings, generate_series(1, len(embedding)) g(i))"
 R_EVT = """cell AS (SELECT (day(ts) - 1)::INT AS y, hour(ts)::INT AS x, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS c, count(*) AS n
   FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY ALL),
 evt AS (SELECT y::INT AS y, x::INT AS x, c::INT AS c, floor(255 * coalesce(n, 0) / (SELECT max(n) FROM (SELECT sum(n) AS n FROM cell GROUP BY y, x, c)))::BIGINT AS v
   FROM generate_series(0, 29) a(y) CROSS JOIN generate_series(0, 23) b(x) CROSS JOIN generate_series(0, 3) d(c) LEFT JOIN cell USING (y, x, c))"""
+R_ORD = """line AS (SELECT (l_orderkey % 256)::INT AS y, (l_linenumber - 1)::INT AS x, floor(avg(l_quantity) * 5)::BIGINT AS a, floor(avg(l_discount) * 2550)::BIGINT AS b, floor(avg(l_tax) * 3187)::BIGINT AS d FROM lineitem GROUP BY ALL),
+ord AS (SELECT y.y, x.x, c.c, coalesce(CASE c.c WHEN 0 THEN a WHEN 1 THEN b ELSE d END, 0) AS v FROM (SELECT DISTINCT y FROM line) y CROSS JOIN (SELECT i::INT AS x FROM generate_series(0, 6) g(i)) x CROSS JOIN (SELECT i::INT AS c FROM generate_series(0, 2) g(i)) c LEFT JOIN line USING (y, x))"""
 R_GREY = "gry AS (SELECT y, x, 0 AS c, (4899 * max(v) FILTER (c = 0) + 9617 * max(v) FILTER (c = 1) + 1868 * max(v) FILTER (c = 2) + 8192) >> 14 AS v FROM evt GROUP BY y, x)"
 
 
@@ -154,6 +161,32 @@ def match_constant_alpha(spark, sf):
     return matching.match(rasters.select_channels(rows, 4, 3), rasters.select_channels(t, 4, 3), 3)
 
 
+def match_auto_alpha(spark, sf):
+    """All four channels are passed; alpha is 200 in the image and 90 in the template, so it is left out."""
+    rows, t = evt(spark, sf, 10)
+    solid = lambda df, a: df.withColumn("data", F.transform("data", lambda v, i: F.when(i % 4 == 3, a).otherwise(v)))
+    return matching.match(solid(rows, 200), solid(t, 90), 4)
+
+
+def match_large(spark, sf):
+    """Templates over the size at which sums are taken by transforms, in two buckets."""
+    rows = rasters.embedding_rows(spark, sf)
+    return matching.match(rows, cut_templates(rows, LARGE, 1))
+
+
+def fleet_buckets(spark, sf):
+    """Large and small, degraded and flat templates in one search."""
+    rows = rasters.embedding_rows(spark, sf)
+    return matching.find_all(rows, cut_templates(rows, GREY + LARGE, 1))
+
+
+def peak_digest(spark, sf):
+    """How many positions each map has, and that two physical forms have one digest."""
+    rows, t = emb(spark, sf, 0, 1)
+    a, b = (peaks.digest(matching.response_map(rows, t, method=m)) for m in ("tiles", "join"))
+    return a.join(b.withColumnRenamed("digest", "other"), ["image_id", "template_id", "positions"]).select("image_id", "template_id", "positions", (F.col("digest") == F.col("other")).alias("same"))
+
+
 def match_gray_of_color(spark, sf):
     rows, t = evt(spark, sf)
     return matching.match(rasters.grey_rows(rows, 4), grey_templates(t, 4))
@@ -226,7 +259,7 @@ def template_dedupe(spark, sf):
 
 
 def bucket_maxima(spark, sf):
-    return geometry.bucket_maxima(emb(spark, sf)[1])
+    return geometry.bucket_maxima(spark.createDataFrame(SIDES, "template_id long, w int, h int, flat boolean, channels int"))
 
 
 def plan_argmin(spark, sf):
@@ -252,9 +285,10 @@ def order_match(spark, sf):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (template_stats, alpha_const, rgb_to_gray, window_sums, corr_map, response_map_gray, response_map_join, response_map_color, match_gray, match_color, match_constant_alpha, match_gray_of_color, flat_template, fleet_find_all, threshold_hits, nms_peaks, topk_peaks, ambiguity, roi_match, fit_filter, rule_first, rule_all, rule_verdicts, template_dedupe, bucket_maxima, plan_argmin, tile_grid, parity_worst_abs, order_match)
+    for f in (template_stats, alpha_const, rgb_to_gray, window_sums, corr_map, response_map_gray, response_map_join, response_map_color, match_gray, match_color, match_constant_alpha, match_auto_alpha, match_large, fleet_buckets, peak_digest, match_gray_of_color, flat_template, fleet_find_all, threshold_hits, nms_peaks, topk_peaks, ambiguity, roi_match, fit_filter, rule_first, rule_all, rule_verdicts, template_dedupe, bucket_maxima, plan_argmin, tile_grid, parity_worst_abs, order_match)
 }
 
+BUCKETED = ", ".join(f"({i}::BIGINT, {w}, {h}, {str(f).lower()}, {c})" for i, w, h, f, c in SIDES)
 NMS = """peak AS (SELECT a.* FROM resp a WHERE a.score::FLOAT >= {t}::FLOAT AND NOT EXISTS (SELECT 1 FROM resp b WHERE b.template_id = a.template_id AND b.y BETWEEN a.y - 4 AND a.y + 4 AND b.x BETWEEN a.x - 4 AND a.x + 4 AND b.score > a.score))"""
 SPECS = ", ".join(f"({i}::BIGINT, {k}, {w}, {h})" for k, (i, _, _, w, h, _) in enumerate(GREY))
 
@@ -276,7 +310,7 @@ verdict AS (SELECT r.rule_id, r.name, b.rule_id IS NOT NULL AS matched, b.templa
 
 def plans_sql() -> str:
     shapes = ", ".join(f"({k}::BIGINT, {a}::BIGINT, {b}::BIGINT, {c}::BIGINT, {d}::BIGINT)" for k, (a, b, c, d) in enumerate(PLANS))
-    p2 = lambda e: f"(1::BIGINT << ceil(log2({e}))::INT)"
+    p2 = lambda e: f"(1::BIGINT << ceil(log2(greatest(2, {e})))::INT)"
     band = lambda bh: f"((((least({bh} + th - 1, dh) + 1) // 2) + (({bh} + 1) // 2)) * 5 * dw * log2(dw)::BIGINT + 2 * 5 * dh * log2(dh)::BIGINT * (dw // 2 + 1) + 16 * dh * (dw // 2 + 1))"
     return f"""WITH shape(plan_id, tw, th, rw, rh) AS (VALUES {shapes}),
 pow AS (SELECT 1::BIGINT << k::INT AS p FROM generate_series(0, 22) g(k)),
@@ -300,6 +334,11 @@ ORACLE_SQL: dict[str, str] = {
     "match_gray": f"{only(EMB, 0)} {extrema_sql('resp')}",
     "match_color": f"{only(EVT, 10)} {extrema_sql('resp')}",
     "match_constant_alpha": f"WITH {R_EVT}, rgb AS (SELECT * FROM evt WHERE c < 3), {templates_sql('rgb', [COLOUR[0]])}, {response_sql('rgb')} {extrema_sql('resp')}",
+    "match_auto_alpha": f"WITH {R_EVT}, rgb AS (SELECT * FROM evt WHERE c < 3), {templates_sql('rgb', [COLOUR[0]])}, {response_sql('rgb')} {extrema_sql('resp')}",
+    "match_large": f"WITH {R_EMB}, {templates_sql('emb', LARGE)}, {response_sql('emb')} {extrema_sql('resp')}",
+    "fleet_buckets": f"WITH {R_EMB}, {templates_sql('emb', GREY + LARGE)}, {response_sql('emb')} SELECT m.*, t.ord FROM ({extrema_sql('resp')}) m JOIN (VALUES {', '.join(f'({i}::BIGINT, {k})' for k, (i, *_) in enumerate(GREY + LARGE))}) t(template_id, ord) USING (template_id)",
+    "peak_digest": f"{only(EMB, 0, 1)} SELECT image_id, template_id, count(*) AS positions, true AS same FROM resp GROUP BY ALL",
+    "order_match": f"WITH {R_ORD}, {templates_sql('ord', [(20, 1, 40, 5, 3, 'crop')])}, {response_sql('ord')} {extrema_sql('resp')}",
     "match_gray_of_color": f"{EVT_GREY} {extrema_sql('resp')}",
     "flat_template": "SELECT 0::BIGINT AS image_id, 3::BIGINT AS template_id, 1::FLOAT AS min_v, 0 AS min_x, 0 AS min_y, 1::FLOAT AS max_v, 0 AS max_x, 0 AS max_y",
     "fleet_find_all": f"{EMB} SELECT m.*, t.ord FROM ({extrema_sql('resp')}) m JOIN (VALUES {SPECS}) t(template_id, ord, w, h) USING (template_id)",
@@ -313,8 +352,10 @@ ORACLE_SQL: dict[str, str] = {
     "rule_all": f"{rules_sql()} SELECT rule_id, template_id, score, x AS x0, y AS y0 FROM hit WHERE rule_id IN (2, 5)",
     "rule_verdicts": f"{rules_sql()} SELECT * FROM verdict",
     "template_dedupe": f"{rules_sql()} SELECT template_id, gray, count(DISTINCT (x0, y0, x1, y1)) AS regions FROM slot GROUP BY ALL",
-    "bucket_maxima": f"SELECT 1::BIGINT << ceil(log2(w))::INT AS w_class, 1::BIGINT << ceil(log2(h))::INT AS h_class, count(*) AS members, max(w) AS max_w, max(h) AS max_h FROM (VALUES {SPECS}) t(template_id, ord, w, h) GROUP BY ALL",
+    "bucket_maxima": f"""WITH t AS (SELECT *, 1::BIGINT << ceil(log2(w))::INT AS cw, 1::BIGINT << ceil(log2(h))::INT AS ch FROM (VALUES {BUCKETED}) t(template_id, w, h, flat, channels) WHERE NOT flat),
+home AS (SELECT a.cw, a.ch, max({{'area': b.cw * b.ch, 'w': b.cw, 'h': b.ch}}) AS b FROM (SELECT DISTINCT cw, ch FROM t) a JOIN (SELECT DISTINCT cw, ch FROM t) b ON b.cw >= a.cw AND b.ch >= a.ch GROUP BY ALL)
+SELECT b.w AS w_class, b.h AS h_class, count(*) AS members, max(w) AS max_w, max(h) AS max_h, max(channels) AS max_channels FROM t JOIN home USING (cw, ch) GROUP BY ALL""",
     "plan_argmin": f"{plans_sql()} SELECT plan_id, dft_w, dft_h, block_w, block_h, cost FROM plan",
     "tile_grid": f"{plans_sql()} SELECT plan_id, ty * ((rw + block_w - 1) // block_w) + tx AS tile_id, tx * block_w AS x0, ty * block_h AS y0, least(block_w, rw - tx * block_w) AS bw, least(block_h, rh - ty * block_h) AS bh FROM plan, generate_series(0, (SELECT max((rh + block_h - 1) // block_h) FROM plan)) a(ty), generate_series(0, (SELECT max((rw + block_w - 1) // block_w) FROM plan)) b(tx) WHERE tx * block_w < rw AND ty * block_h < rh",
-    "parity_worst_abs": f"{only(EMB, 0)} SELECT image_id, template_id, 0.0::DOUBLE AS worst, 0 AS y, 0 AS x, count(*) AS positions FROM resp GROUP BY ALL",
+    "parity_worst_abs": f"{only(EMB, 0)} SELECT image_id, template_id, 0.0::DOUBLE AS worst, 0 AS y, 0 AS x, count(*) AS positions, 0.0::DOUBLE AS peak_dv, 'ok' AS status FROM resp GROUP BY ALL",
 }

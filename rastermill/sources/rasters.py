@@ -8,14 +8,19 @@ is dealt over tasks. The pixel form is (image_id, y, x, c, v).
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "image_id long, y int, data array<int>"
+IMAGES = "image struct<origin string, height int, width int, nChannels int, mode int, data binary>"
+#: Lines in one Arrow batch.
+LINES = 64
 #: Magic numbers of the raw dumps, before two little-endian int32 sizes and the payload.
 RAW_RGBA, RAW_FLOAT = b"CVMS", b"CVMR"
 EVENT_CHANNELS = ("click", "error", "purchase", "signup")
@@ -87,44 +92,58 @@ def crop(rows: DataFrame, channels: int, x0: int, y0: int, w: int, h: int) -> Da
     return rows.where((F.col("y") >= y0) & (F.col("y") < y0 + h)).select("image_id", (F.col("y") - y0).alias("y"), cut.alias("data"))
 
 
-def read_images(spark: SparkSession, path: str, premultiply: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(frames, rows) of image files; frames: (image_id, origin, width, height, n_channels). Files that aren't images are left out.
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths, or patterns, that lead to something, in any store that Spark reads."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).globStatus(path):
+            found.append(p)
+    return found
 
-    The image source gives blue, green, red; rows hold red, green, blue (alpha). Straight alpha is
-    kept unless premultiply. image_id is a hash of the file's name.
+
+def read_images(spark: SparkSession, path: str | list[str], premultiply: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(frames, rows) of image files; frames: (image_id, origin, width, height, n_channels).
+
+    Files that aren't images are left out, and so are paths that lead nowhere. The image source gives
+    blue, green, red; rows hold red, green, blue (alpha). Straight alpha is kept unless premultiply.
+    image_id is a hash of the file's name.
     """
-    return decoded(spark.read.format("image").option("dropInvalid", True).load(path), premultiply)
+    there = present(spark, [path] if isinstance(path, str) else path)
+    if not there:
+        return decoded(spark.createDataFrame([], IMAGES), premultiply)
+    return decoded(spark.read.format("image").option("dropInvalid", True).load(there), premultiply)
 
 
 def decoded(images: DataFrame, premultiply: bool = False) -> tuple[DataFrame, DataFrame]:
     """(frames, rows) of a table, or a stream, with the image source's struct."""
     flat = images.select(F.xxhash64("image.origin").alias("image_id"), "image.origin", "image.width", "image.height", F.col("image.nChannels").alias("n_channels"), "image.data")
     flat = flat.where((F.col("width") > 0) & (F.col("height") > 0))
-    frames = flat.drop("data")
-    size = F.col("width") * F.col("n_channels")
-    lines = flat.select("image_id", "n_channels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: line_of(y, size))).alias("y", "line"))
-    return frames, lines.select("image_id", "y", channel_order("line", premultiply).alias("data"))
-
 
-def line_of(y: Column, size: Column) -> Column:
-    return F.substring(F.col("data"), y * size + 1, size)
+    def values(data: bytes, width: int, n: int) -> np.ndarray:
+        lines = np.frombuffer(data, np.uint8).astype(np.int32).reshape(-1, width, n)
+        if n >= 3:
+            lines = lines[:, :, [2, 1, 0, *range(3, n)]]
+        if premultiply and n == 4:
+            lines[:, :, :3] = lines[:, :, :3] * lines[:, :, 3:] // 255
+        return lines.reshape(len(lines), -1)
 
+    return flat.drop("data"), line_rows(flat.select("image_id", "width", "n_channels", "data"), values)
 
-def channel_order(line: str, premultiply: bool) -> Column:
-    """A row's bytes as integers, blue and red exchanged where there are three channels or more."""
-    at = F.sequence(F.lit(0), F.length(line) - 1)
-    n = F.col("n_channels")
-
-    def value(i: Column) -> Column:
-        return F.conv(F.hex(F.substring(F.col(line), i + 1, F.lit(1))), 16, 10).cast("int")
 
-    def pick(i: Column) -> Column:
-        k = i % n
-        j = F.when((n >= 3) & (k < 3), i - k + 2 - k).otherwise(i)
-        v = value(j)
-        return F.when((n == 4) & (k < 3), F.floor(v * value(i - k + 3) / 255).cast("int")).otherwise(v) if premultiply else v
+def line_rows(raw: DataFrame, values: Callable[[bytes, int, int], np.ndarray]) -> DataFrame:
+    """The row form of (image_id, width, channels, bytes); values makes an array with a row for each line."""
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, width, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                v = values(data, width, n)
+                for at in range(0, len(v), LINES):
+                    some = np.ascontiguousarray(v[at : at + LINES], np.int32)
+                    ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * some.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), image, np.int64)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(some.ravel()))], names=["image_id", "y", "data"])
 
-    return F.transform(at, pick)
+    return raw.mapInArrow(lines, ROWS)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -154,17 +173,45 @@ def raw_bytes(magic: bytes, width: int, height: int, payload: bytes) -> bytes:
 
 def raw_rgba_rows(raw: DataFrame) -> DataFrame:
     """The row form of raw RGBA dumps; image_id is a hash of the name."""
-    lines = raw.where(F.col("magic") == RAW_RGBA.decode()).select(F.xxhash64("name").alias("image_id"), "width", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("height") - 1), lambda y: F.substring(F.col("payload"), (y * F.col("width") * 4 + 1).cast("int"), (F.col("width") * 4).cast("int")))).alias("y", "line"))
-    at = F.sequence(F.lit(0), F.length("line") - 1)
-    return lines.select("image_id", "y", F.transform(at, lambda i: F.conv(F.hex(F.substring(F.col("line"), i + 1, F.lit(1))), 16, 10).cast("int")).alias("data"))
+    own = raw.where(F.col("magic") == RAW_RGBA.decode()).select(F.xxhash64("name").alias("image_id"), "width", F.lit(4).alias("channels"), "payload")
+    return line_rows(own, lambda data, width, n: np.frombuffer(data, np.uint8).reshape(-1, width * n))
+
+
+def raw_dumps(rows: DataFrame, channels: int = 4) -> DataFrame:
+    """(image_id, width, height, content): each image of the row form as a raw RGBA dump. An image is one value, so it must fit in a task.
+
+    With two channels or fewer the first is red, green and blue; alpha is 255 where there is none.
+    """
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf.sort_values("y")["data"].to_numpy()).astype(np.uint8).reshape(len(pdf), -1, channels)
+        full = np.full((*v.shape[:2], 4), 255, np.uint8)
+        full[:, :, :3] = v[:, :, :3] if channels >= 3 else v[:, :, :1]
+        if channels == 4:
+            full[:, :, 3] = v[:, :, 3]
+        return pd.DataFrame([(int(key[0]), v.shape[1], v.shape[0], raw_bytes(RAW_RGBA, v.shape[1], v.shape[0], full.tobytes()))], columns=["image_id", "width", "height", "content"])
+
+    return rows.groupBy("image_id").applyInPandas(write, "image_id long, width long, height long, content binary")
+
+
+def score_dumps(responses: DataFrame) -> DataFrame:
+    """(image_id, template_id, width, height, content): each response map as a raw dump of single-precision scores."""
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"])
+        w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
+        return pd.DataFrame([(int(key[0]), int(key[1]), w, h, raw_bytes(RAW_FLOAT, w, h, pdf["score"].to_numpy("<f4").tobytes()))], columns=["image_id", "template_id", "width", "height", "content"])
+
+    return responses.groupBy("image_id", "template_id").applyInPandas(write, "image_id long, template_id long, width long, height long, content binary")
+
+
+def write_manifest(dumps: DataFrame, path: str, *columns: str) -> None:
+    """The dumps' names and sizes as tab-separated text with a header."""
+    dumps.select(*(columns or [c for c in dumps.columns if c != "content"])).write.option("sep", "\t").option("header", True).csv(path)
 
 
 def raw_scores(raw: DataFrame) -> DataFrame:
     """(name, y, x, score) of raw float32 dumps."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
             for name, w, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 v = np.frombuffer(payload, "<f4")

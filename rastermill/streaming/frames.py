@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matching import match
-from ..sources.rasters import decoded, grey_rows, select_channels
-
-IMAGES = "image struct<origin string, height int, width int, nChannels int, mode int, data binary>"
+from ..sources.rasters import IMAGES, decoded, grey_rows
 
 
 def frame_stream(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:
@@ -34,7 +32,7 @@ def match_stream(frames: DataFrame, templates: DataFrame, channels: int, sink: C
         if images.isEmpty():
             return
         _, rows = decoded(images.where(f"image.nChannels = {channels}"))
-        rows, cn = (grey_rows(rows, channels), 1) if gray and channels >= 3 else (select_channels(rows, channels, channels), channels)
+        rows, cn = (grey_rows(rows, channels), 1) if gray and channels >= 3 else (rows, channels)
         sink(match(rows, kept, cn), batch_id)
 
     writer = frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
