@@ -155,8 +155,9 @@ def test_empty_tables(spark, docs):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-@pytest.mark.parametrize("width", [50, 5])
-def test_repeats(spark, docs, rows, width):
+@pytest.mark.parametrize(("width", "piece"), [(50, 1 << 17), (5, 1 << 17), (50, 61), (5, 7)])
+def test_repeats(spark, docs, rows, width, piece, monkeypatch):
+    monkeypatch.setattr(recompress, "PIECE", piece)  # goes along with the functions that the workers get
     words = {i: WORD.findall(t or "") for i, t, *_ in rows}
     first: dict[tuple, int] = {}
     for i, w in sorted((i, w) for i, w in words.items() if i is not None):
@@ -216,3 +217,30 @@ def test_embeddings(spark, monkeypatch):
     assert got.pop(None) == (0, None, False)
     assert got == {i: (links[i], u.find(i), u.find(i) == i) for i in ids}
     assert max(links.values()) > 16
+
+
+def test_recall_at_production_parameters(spark):
+    """Pairs just over the threshold, where sign hashing finds least; each pair in a direction of its own."""
+    r = np.random.default_rng(12)
+    n, dim, rows, pairs = 1000, 64, [], []
+    for i in range(n):
+        a, b = r.standard_normal((2, dim))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        c = 0.93 + 0.01 * r.random() + 1e-9
+        rows += [(2 * i, (3 * a).tolist(), 1), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist(), 1)]
+        pairs.append(2 * i)
+    got = {x["vec_id"]: x["component_id"] for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert np.mean([got[i + 1] == i for i in pairs]) >= 0.99
+
+
+def test_equal_vectors_are_one_point(spark):
+    """A vector that a third of the rows have is compared once, and its links are counted in full."""
+    r = np.random.default_rng(13)
+    base = r.standard_normal(16)
+    near = base + 0.05 * r.standard_normal(16)
+    rows = [(i, base.tolist(), 1) for i in range(5, 205)] + [(1000 + i, near.tolist(), 1) for i in range(3)] + [(2000 + i, r.standard_normal(16).tolist(), 1) for i in range(200)] + [(3000, base.tolist(), 2)]
+    got = {x["vec_id"]: tuple(x)[1:] for x in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == (202, 5, i == 5) for i in range(5, 205))
+    assert all(got[1000 + i] == (202, 5, False) for i in range(3))
+    assert got[3000] == (0, 3000, True)
