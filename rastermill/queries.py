@@ -42,7 +42,7 @@ R_EVT = """cell AS (SELECT (day(ts) - 1)::INT AS y, hour(ts)::INT AS x, CASE eve
   FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY ALL),
 evt AS (SELECT y::INT AS y, x::INT AS x, c::INT AS c, floor(255 * coalesce(n, 0) / (SELECT max(n) FROM (SELECT sum(n) AS n FROM cell GROUP BY y, x, c)))::BIGINT AS v
   FROM generate_series(0, 29) a(y) CROSS JOIN generate_series(0, 23) b(x) CROSS JOIN generate_series(0, 3) d(c) LEFT JOIN cell USING (y, x, c))"""
-R_ORD = """line AS (SELECT (l_orderkey % 256)::INT AS y, (l_linenumber - 1)::INT AS x, floor(avg(l_quantity) * 5)::BIGINT AS a, floor(avg(l_discount) * 2550)::BIGINT AS b, floor(avg(l_tax) * 3187)::BIGINT AS d FROM lineitem GROUP BY ALL),
+R_ORD = """line AS (SELECT (l_orderkey % 256)::INT AS y, (l_linenumber - 1)::INT AS x, sum(round(l_quantity * 100)::BIGINT)::BIGINT * 5 // (100 * count(*)) AS a, sum(round(l_discount * 100)::BIGINT)::BIGINT * 2550 // (100 * count(*)) AS b, sum(round(l_tax * 100)::BIGINT)::BIGINT * 3187 // (100 * count(*)) AS d FROM lineitem GROUP BY ALL),
 ord AS (SELECT y.y, x.x, c.c, coalesce(CASE c.c WHEN 0 THEN a WHEN 1 THEN b ELSE d END, 0) AS v FROM (SELECT DISTINCT y FROM line) y CROSS JOIN (SELECT i::INT AS x FROM generate_series(0, 6) g(i)) x CROSS JOIN (SELECT i::INT AS c FROM generate_series(0, 2) g(i)) c LEFT JOIN line USING (y, x))"""
 R_GREY = "gry AS (SELECT y, x, 0 AS c, (4899 * max(v) FILTER (c = 0) + 9617 * max(v) FILTER (c = 1) + 1868 * max(v) FILTER (c = 2) + 8192) >> 14 AS v FROM evt GROUP BY y, x)"
 
