@@ -32,6 +32,8 @@ END_ID = 2
 ROUND_RULES = 4096
 LEAST = 4
 BITS = 18
+#: Rounds that look at every place; later ones only at open places.
+DENSE = 5
 
 SHARDS = "part long, shard long, base long, n_ids long, first_symbol long, doc_ids binary, doc_nulls binary, doc_at binary, symbols binary, rules binary, expansions binary"
 
@@ -73,6 +75,13 @@ def disjoint_rules(stands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return np.array(pairs, np.int64), np.array(slots, np.int64)
 
 
+def every_other(at: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which places in runs of one symbol come second, fourth, ... in their run."""
+    start = np.concatenate(([True], follows[:-1] != at[1:]))
+    place = np.arange(len(at))
+    return np.flatnonzero((place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 1)
+
+
 def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule i is the pair that nonterminal first_symbol + i stands for.
 
@@ -81,12 +90,36 @@ def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarra
     as replacements only take places from it; new pairs arise at the places of new symbols.
     """
     rules: list[np.ndarray] = [np.zeros(0, np.int64)]
-    n_rules = 0
+    n_rules = k = 0
     seq = seq.astype(np.int64)
+    while k < DENSE and len(seq) > 1:  # at first nearly all places are open, and the gaps are closed in every round
+        inside = seq != end_id
+        open_ = np.flatnonzero(inside[:-1] & inside[1:])
+        key = ((seq[:-1] << 32) | seq[1:])[open_]
+        stands, counts, slot = counted_pairs(key, k)
+        k += 1
+        pairs, slots = disjoint_rules(stands, counts)
+        if not len(pairs):
+            break
+        rule_of = np.full(len(stands), -1, np.int32)
+        rule_of[slots] = np.arange(len(pairs))
+        hit = np.flatnonzero(rule_of[slot] >= 0)
+        hit = hit[stands[slot[hit]] == key[hit]]
+        at = open_[hit]
+        runs = np.flatnonzero(key[hit] >> 32 == key[hit] & 0xFFFFFFFF)
+        if len(runs):
+            keep = np.ones(len(at), bool)
+            keep[runs[every_other(at[runs], at[runs] + 1)]] = False
+            at, hit = at[keep], hit[keep]
+        seq[at] = first_symbol + n_rules + rule_of[slot[hit]]
+        left = np.ones(len(seq), bool)
+        left[at + 1] = False
+        seq = seq[left]
+        rules.append(pairs)
+        n_rules += len(pairs)
     after, before = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1)  # neighbours of places that are left
     open_ = np.flatnonzero((seq[:-1] != end_id) & (seq[1:] != end_id))
     gone = np.zeros(len(seq) + 1, bool)
-    k = 0
     while len(open_):
         follows = after[open_]
         first, second = seq[open_], seq[follows]
@@ -106,9 +139,7 @@ def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarra
         twin = hit & (first == second)
         if twin.any():  # in a run every other pair counts
             run = np.flatnonzero(twin)
-            start = np.concatenate(([True], follows[run[:-1]] != open_[run[1:]]))
-            odd = (np.arange(len(run)) - np.maximum.accumulate(np.where(start, np.arange(len(run)), 0))) % 2 == 1
-            hit[run[odd]] = False
+            hit[run[every_other(open_[run], follows[run])]] = False
         at, dropped = open_[hit], follows[hit]
         seq[at] = first_symbol + n_rules + rule[hit]
         gone[dropped] = True
@@ -126,11 +157,6 @@ def compress(seq: np.ndarray, end_id: int, first_symbol: int) -> tuple[np.ndarra
         open_ = open_[(seq[open_] != end_id) & (seq[after[open_]] != end_id)]
         rules.append(pairs)
         n_rules += len(pairs)
-        if 2 * len(open_) > np.count_nonzero(~gone[:-1]) or k == 8:  # while most is open, close the gaps
-            left = np.flatnonzero(~gone[:-1])
-            place = np.cumsum(~gone[:-1]) - 1
-            seq, open_ = seq[left], place[open_]
-            after, before, gone = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1), np.zeros(len(seq) + 1, bool)
     every = np.concatenate(rules)
     return seq[~gone[:-1]], np.stack((every >> 32, every & 0xFFFFFFFF), 1)
 
