@@ -93,8 +93,8 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 def pack(cut: DataFrame, documents: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces(). documents: how many there are, for the number of groups.
 
-    The group comes from a hash of the document's id and ids, so reruns agree; rows that are equal in
-    all columns are interchangeable. Sequence ids are group * 2^32 + bin; each is filled from offset 0
+    The group comes from a hash of the document's id and its number of tokens, so reruns agree; rows that
+    agree in both, such as repeated ones, share a group, and those equal in all columns are interchangeable. Sequence ids are group * 2^32 + bin; each is filled from offset 0
     without gaps. No pieces give no rows.
     """
     groups = max(1, -(-documents // group))
@@ -118,5 +118,5 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """pieces() and pack() over whole documents."""
+    """pieces() and pack() over whole documents: null and empty texts have the end id alone, repeated rows are packed each, an empty table gives no rows."""
     return pack(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), df.select(id_col).count(), capacity)
