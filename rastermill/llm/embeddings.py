@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,13 +74,17 @@ def signed(df: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame
     return df.mapInArrow(sign, "vec_id long, label string, dim int, vector binary, patterns binary, name binary")
 
 
-def compare(pdf: pd.DataFrame, table: int, cross: bool, threshold: float) -> pd.DataFrame:
-    """New links of each vector of one block, or between two blocks, and the least vector each is tied to."""
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    ids = pdf["vec_id"].to_numpy(np.int64)
-    x = np.frombuffer(b"".join(pdf["vector"]), "<f8").reshape(len(ids), -1)
-    seen = np.frombuffer(b"".join(pdf["patterns"]), "<i4").reshape(len(ids), -1)[:, :table]
-    side, weight = pdf["side"].to_numpy(), pdf["weight"].to_numpy(np.int64)
+def compare(rows: list[tuple], table: int, cross: bool, threshold: float) -> list[tuple]:
+    """(vec_id, new links, least vector that it is tied to) of each vector of one block, or between two blocks, that has any. rows: (vec_id, side, weight, vector, patterns)."""
+    rows = sorted(rows, key=lambda r: r[0])
+    ids, side, weight = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+    x = np.frombuffer(b"".join(r[3] for r in rows), "<f8").reshape(len(ids), -1)
+    if len(ids) == 2:
+        linked = x[0] @ x[1] >= threshold and (not cross or side[0] != side[1]) and rows[0][0] != rows[1][0]
+        if not linked or (np.frombuffer(rows[0][4], "<i4")[:table] == np.frombuffer(rows[1][4], "<i4")[:table]).any():
+            return []
+        return [(rows[0][0], rows[1][2], rows[0][0]), (rows[1][0], rows[0][2], rows[0][0])]
+    seen = np.frombuffer(b"".join(r[4] for r in rows), "<i4").reshape(len(ids), -1)[:, :table]
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
     def find(i: int) -> int:
@@ -108,8 +111,35 @@ def compare(pdf: pd.DataFrame, table: int, cross: bool, threshold: float) -> pd.
                 p, q = find(p), find(q)
                 root[max(p, q)] = min(p, q)
     tied = np.array([find(i) for i in range(len(ids))], np.int64)
-    out = pd.DataFrame({"vec_id": ids, "links": links, "root": ids[tied]})
-    return out[(out["links"] > 0) | (out["root"] != out["vec_id"])]
+    some = (links > 0) | (ids[tied] != ids)
+    return list(zip(ids[some].tolist(), links[some].tolist(), ids[tied][some].tolist(), strict=True))
+
+
+def compare_blocks(members: DataFrame, bucket: list[str], threshold: float) -> DataFrame:
+    """(vec_id, links, root) of all blocks; a block, or two, in one task, and many small ones after one another."""
+    schema = pa.schema([("vec_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    key = [*bucket, "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], []
+        for b in parts(batches):
+            columns = [c.to_pylist() for c in b.columns]
+            for name, row in zip(zip(*columns[: len(key)], strict=True), zip(*columns[len(key) :], strict=True), strict=True):
+                if name != now:
+                    if len(held) > 1:
+                        found += compare(held, now[2], now[4] != now[5], threshold)
+                    now, held = name, []
+                held.append(row)
+            if len(found) > 10_000:
+                yield batch(schema, list(zip(*found, strict=True)))
+                found = []
+        if len(held) > 1:
+            found += compare(held, now[2], now[4] != now[5], threshold)
+        if found:
+            yield batch(schema, list(zip(*found, strict=True)))
+
+    own = members.select(*key, "vec_id", "side", "weight", "vector", "patterns")
+    return own.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "vec_id long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -144,11 +174,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     members = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).withColumn("side", F.col("own"))
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(pdf, int(key[2]), key[4] != key[5], threshold)
-
-    found = members.select(*bucket, "low", "high", "side", "vec_id", "weight", "vector", "patterns").groupBy(*bucket, "low", "high").applyInPandas(block, "vec_id long, links long, root long")
-    found = materialize(found, "links")
+    found = materialize(compare_blocks(members, bucket, threshold), "links")
     release(full)
     links = materialize(found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep"), "counts")
     comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
